@@ -1,0 +1,137 @@
+"""Grid density clustering of points in SQL operations.
+
+Locations are quantised to cells whose points all lie within the radius of each
+other, so a cell with enough points is dense as a whole and the dense points of
+one cell always share a cluster. Only points of poor cells are counted against
+their 21 cells around; adjacent cells with dense points are joined when a dense
+pair lies within the radius; the minimum label is propagated over these cells.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sylvaq.operators.components import min_labels
+from sylvaq.scratch import checkpointed
+
+#: Cells whose nearest points may lie within the radius: 5 x 5 without the corners.
+AROUND = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if abs(dx) + abs(dy) < 4]
+AHEAD = [(dx, dy) for dx, dy in AROUND if (dy, dx) > (0, 0)]
+
+
+def _offsets(cells: list[tuple[int, int]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(dx).cast("bigint").alias("dx"), F.lit(dy).cast("bigint").alias("dy")) for dx, dy in cells]))
+
+
+def _within(x1: str, y1: str, x2: str, y2: str, radius: float) -> Column:
+    dx, dy = F.col(x1) - F.col(x2), F.col(y1) - F.col(y2)
+    return dx * dx + dy * dy <= F.lit(radius * radius)
+
+
+def _touching(dense: DataFrame, radius: float) -> DataFrame:
+    """(a, b): cells (by label) with a dense pair within the radius. ``dense``: cx, cy, label, x, y.
+
+    Cell pairs are settled by their boxes (too far apart) or by their eight
+    outermost points (near enough) where possible; only undecided pairs compare
+    points, those near the other cell's box.
+    """
+    keys = {"w": F.col("x"), "e": -F.col("x"), "s": F.col("y"), "n": -F.col("y"), "sw": F.col("x") + F.col("y"), "ne": -F.col("x") - F.col("y"), "nw": F.col("x") - F.col("y"), "se": F.col("y") - F.col("x")}
+    cells = dense.groupBy("cx", "cy", "label").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+        F.array_distinct(F.array(*[F.min_by(F.struct("x", "y"), F.struct(k, F.col("x"), F.col("y"))) for k in keys.values()])).alias("rim"),
+    )
+    cells = checkpointed(cells)
+    names = ("label", "x0", "x1", "y0", "y1", "rim")
+    left = cells.select("cx", "cy", *[F.col(c).alias(f"a_{c}") for c in names], _offsets(AHEAD).alias("o"))
+    left = left.withColumns({"cx": F.col("cx") + F.col("o.dx"), "cy": F.col("cy") + F.col("o.dy")}).drop("o")
+    pairs = left.join(cells.select("cx", "cy", *[F.col(c).alias(f"b_{c}") for c in names]), ["cx", "cy"])
+    gx = F.greatest(F.lit(0.0), F.col("b_x0") - F.col("a_x1"), F.col("a_x0") - F.col("b_x1"))
+    gy = F.greatest(F.lit(0.0), F.col("b_y0") - F.col("a_y1"), F.col("a_y0") - F.col("b_y1"))
+    pairs = pairs.where(gx * gx + gy * gy <= F.lit(radius * radius))
+    r2 = F.lit(radius * radius)
+    sure = F.exists("a_rim", lambda p: F.exists("b_rim", lambda q: (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= r2))
+    pairs = checkpointed(pairs.select(*[f"{s}_{c}" for s in "ab" for c in names[:5]], sure.alias("sure")))
+    settled = pairs.where("sure").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+
+    def side(own: str, other: str) -> DataFrame:
+        p = pairs.where("not sure").select("a_label", "b_label", *[F.col(f"{other}_{c}").alias(c) for c in names[1:5]])
+        q = p.join(dense.select(F.col("label").alias(f"{own}_label"), "x", "y"), f"{own}_label")
+        fx = F.greatest(F.lit(0.0), F.col("x0") - F.col("x"), F.col("x") - F.col("x1"))
+        fy = F.greatest(F.lit(0.0), F.col("y0") - F.col("y"), F.col("y") - F.col("y1"))
+        return q.where(fx * fx + fy * fy <= r2).select("a_label", "b_label", F.col("x").alias(f"{own}x"), F.col("y").alias(f"{own}y"))
+
+    open_pairs = side("a", "b").join(side("b", "a"), ["a_label", "b_label"]).where(_within("ax", "ay", "bx", "by", radius))
+    return settled.unionByName(open_pairs.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+
+
+def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """(cluster_key, id, dense, cell): one row per point in a cluster.
+
+    ``points`` has unique ``id`` (bigint) and finite ``x``, ``y``. A point is dense if
+    at least ``least`` points, itself included, lie within ``radius``. Dense points
+    within ``radius`` share a cluster, also through others; a point that is not
+    dense but near a dense one joins the cluster with the smallest dense id among
+    those it may choose from; all others are in none. ``cluster_key`` is the
+    smallest id of the cluster. Coincident points are counted as one weighted
+    location, so heaps of copies cost one row. Empty input, no rows.
+    """
+    side = radius / math.sqrt(2.0) * (1 - 1e-9)
+    spots = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("first"))
+    spots = spots.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    cell_n = spots.groupBy("cx", "cy").agg(F.sum("w").alias("cell_n"))
+    spots = checkpointed(spots.join(cell_n, ["cx", "cy"]))
+
+    # poor points against everything around; the poor side has fewer than `least` points a cell
+    def around(p: DataFrame) -> DataFrame:
+        p = p.select(F.col("first").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), "cx", "cy", _offsets(AROUND).alias("o"))
+        return p.withColumns({"cx": F.col("cx") + F.col("o.dx"), "cy": F.col("cy") + F.col("o.dy")}).drop("o")
+
+    poor = spots.where(F.col("cell_n") < least)
+    near = around(poor).join(spots.select("cx", "cy", "x", "y", "w"), ["cx", "cy"]).where(_within("px", "py", "x", "y", radius))
+    counts = near.groupBy(F.col("p").alias("first")).agg(F.sum("w").alias("near"))
+    spots = spots.join(counts, "first", "left").withColumn("dense", (F.col("cell_n") >= least) | (F.coalesce("near", F.lit(0)) >= least))
+    spots = checkpointed(spots.select("first", "x", "y", "cx", "cy", "dense"))
+
+    dense = spots.where("dense")
+    labels = dense.groupBy("cx", "cy").agg(F.min("first").alias("label"))
+    dense = checkpointed(dense.join(labels, ["cx", "cy"]))
+    roots = min_labels(labels.select(F.col("label").alias("id")), _touching(dense, radius))
+    dense = checkpointed(dense.join(roots.withColumnRenamed("id", "label"), "label").select("first", "x", "y", "cx", "cy", "root"))
+
+    border = around(spots.where(~F.col("dense"))).join(dense.select("cx", "cy", "x", "y", "root"), ["cx", "cy"])
+    border = border.where(_within("px", "py", "x", "y", radius)).groupBy(F.col("p").alias("first")).agg(F.min("root").alias("root"))
+    member = dense.select("first", "root", F.lit(True).alias("dense")).unionByName(border.select("first", "root", F.lit(False).alias("dense")))
+    place = spots.join(member, "first", "inner").select("x", "y", "root", member["dense"], "cx", "cy")
+    out = checkpointed(points.join(place, ["x", "y"]).select("root", "id", "dense", F.struct("cx", "cy").alias("cell")))
+    keys = out.groupBy("root").agg(F.min("id").alias("cluster_key"))
+    return out.join(keys, "root").select("cluster_key", "id", "dense", "cell")
+
+
+def describe_clusters(members: DataFrame, kind: DataFrame, top: int = 3) -> DataFrame:
+    """One row per cluster: size, dense members, cells, the dominant ``kind`` with its share
+    (of the members that have one) and the ``top`` most typical members, the smallest ids
+    of the cluster's fullest cell (ties: lowest cell).
+
+    ``members`` is density_clusters' result; ``kind`` has unique ``id`` and ``kind``. All
+    steps are aggregates with partial sums; the only window ranks the cells and
+    kinds of a cluster after they are counted.
+    """
+    m = members.join(kind.select("id", "kind"), "id", "left")
+    cells = m.groupBy("cluster_key", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dense").cast("int")).alias("d"))
+    size = cells.groupBy("cluster_key").agg(
+        F.sum("n").alias("size"), F.sum("d").alias("dense_members"), F.count(F.lit(1)).alias("cells"),
+        F.min_by("cell", F.struct((-F.col("n")).alias("n"), F.col("cell"))).alias("cell"),
+    )
+    inside = members.join(size.select("cluster_key", "cell"), ["cluster_key", "cell"])
+    rank = F.row_number().over(Window.partitionBy("cluster_key", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))
+    inside = inside.withColumn("r", rank).where(F.col("r") <= top)  # at most 64 * top rows a cluster from here
+    rank = F.row_number().over(Window.partitionBy("cluster_key").orderBy("id"))
+    typical = inside.withColumn("r", rank).where(F.col("r") <= top).groupBy("cluster_key").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("typical"))
+    kinds = m.where(F.col("kind").isNotNull()).groupBy("cluster_key", "kind").agg(F.count(F.lit(1)).alias("n"))
+    dominant = kinds.groupBy("cluster_key").agg(
+        F.min_by("kind", F.struct((-F.col("n")).alias("n"), F.col("kind"))).alias("dominant"), (F.max("n") / F.sum("n")).alias("dominant_share")
+    )
+    return size.drop("cell").join(typical, "cluster_key", "left").join(dominant, "cluster_key", "left")
