@@ -68,14 +68,14 @@ def _touching(dense: DataFrame, radius: float) -> DataFrame:
 
 
 def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
-    """(cluster_key, id, dense, cell): one row per point in a cluster.
+    """(cluster_key, root, id, dense, cell): one row per point in a cluster.
 
     ``points`` has unique ``id`` (bigint) and finite ``x``, ``y``. A point is dense if
     at least ``least`` points, itself included, lie within ``radius``. Dense points
     within ``radius`` share a cluster, also through others; a point that is not
     dense but near a dense one joins the cluster with the smallest dense id among
     those it may choose from; all others are in none. ``cluster_key`` is the
-    smallest id of the cluster. Coincident points are counted as one weighted
+    smallest id of the cluster, ``root`` its smallest dense id. Coincident points are counted as one weighted
     location, so heaps of copies cost one row. Empty input, no rows.
     """
     side = radius / math.sqrt(2.0) * (1 - 1e-9)
@@ -107,7 +107,7 @@ def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
     place = spots.join(member, "first", "inner").select("x", "y", "root", member["dense"], "cx", "cy")
     out = checkpointed(points.join(place, ["x", "y"]).select("root", "id", "dense", F.struct("cx", "cy").alias("cell")))
     keys = out.groupBy("root").agg(F.min("id").alias("cluster_key"))
-    return out.join(keys, "root").select("cluster_key", "id", "dense", "cell")
+    return out.join(keys, "root").select("cluster_key", "root", "id", "dense", "cell")
 
 
 def describe_clusters(members: DataFrame, kind: DataFrame, top: int = 3) -> DataFrame:

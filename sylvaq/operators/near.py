@@ -29,7 +29,7 @@ def located_points(df: DataFrame, item: str, x: str, y: str, x_range: tuple[floa
 
 
 def _cell(level: Column | int, side: float) -> Column:
-    return F.concat_ws(":", F.lit(level), F.floor(F.col("x") / side), F.floor(F.col("y") / side))
+    return F.concat_ws(":", F.lit(level), "kind", F.floor(F.col("x") / side), F.floor(F.col("y") / side))
 
 
 def _nodes(points: DataFrame, radius: float, node_points: int) -> DataFrame:
@@ -60,16 +60,17 @@ def _nodes(points: DataFrame, radius: float, node_points: int) -> DataFrame:
             break
         rest = checkpointed(rest.drop("n", "node"))
         side, level = side / 2, level + 1
-    out = done[0].select("id", "x", "y", "tx", "ty", "node")
+    cols = ["id", "kind", "x", "y", "tx", "ty", "node"]
+    out = done[0].select(*cols)
     for d in done[1:]:
-        out = out.unionByName(d.select("id", "x", "y", "tx", "ty", "node"))
+        out = out.unionByName(d.select(*cols))
     return out
 
 
 def _tasks(nodes: DataFrame, radius: float, node_points: int) -> DataFrame:
     """(a, b, task, ax0.., bx0..): node pairs that may hold near points, each once, grouped into tasks
     of one left node and right nodes of about ``node_points`` points in all."""
-    box = nodes.groupBy("node", "tx", "ty").agg(
+    box = nodes.groupBy("node", "kind", "tx", "ty").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
     box = checkpointed(box)
@@ -77,15 +78,16 @@ def _tasks(nodes: DataFrame, radius: float, node_points: int) -> DataFrame:
     ahead = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])).alias("o")
     left = box.select(*[F.col(c).alias(f"a_{c}") for c in box.columns], ahead)
     left = left.withColumns({"tx": F.col("a_tx") + F.col("o.dx"), "ty": F.col("a_ty") + F.col("o.dy"), "own": (F.col("o.dx") == 0) & (F.col("o.dy") == 0)})
-    right = box.select("tx", "ty", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "x0", "x1", "y0", "y1")])
-    pairs = left.join(right, ["tx", "ty"]).where(~F.col("own") | (F.col("a_node") <= F.col("b_node")))
+    left = left.withColumnRenamed("a_kind", "kind")
+    right = box.select("kind", "tx", "ty", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "x0", "x1", "y0", "y1")])
+    pairs = left.join(right, ["kind", "tx", "ty"]).where(~F.col("own") | (F.col("a_node") <= F.col("b_node")))
     gx = F.greatest(F.lit(0.0), F.col("b_x0") - F.col("a_x1"), F.col("a_x0") - F.col("b_x1"))
     gy = F.greatest(F.lit(0.0), F.col("b_y0") - F.col("a_y1"), F.col("a_y0") - F.col("b_y1"))
     pairs = pairs.where(gx * gx + gy * gy <= F.lit(radius * radius))
     w = Window.partitionBy("a_node").orderBy("b_node").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("b_n").over(w), F.lit(0))
     pairs = pairs.withColumn("task", F.concat_ws("/", "a_node", F.floor(before / F.lit(4 * node_points))))
-    return pairs.drop("o", "own", "tx", "ty", "a_tx", "a_ty", "a_n")
+    return pairs.drop("o", "own", "kind", "tx", "ty", "a_tx", "a_ty", "a_n")
 
 
 def _near(side_box: str, radius: float) -> Column:
@@ -97,6 +99,8 @@ def _near(side_box: str, radius: float) -> Column:
 
 def _assembled(points: DataFrame, radius: float, node_points: int) -> DataFrame:
     """(task, right, id, x, y) sorted by task: the points each task needs, and no others."""
+    if "kind" not in points.columns:
+        points = points.withColumn("kind", F.lit(0))
     nodes = checkpointed(_nodes(points, radius, node_points))
     tasks = checkpointed(_tasks(nodes, radius, node_points))
     boxes = ["x0", "x1", "y0", "y1"]
@@ -145,7 +149,8 @@ def _by_task(work: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def pairs_within(points: DataFrame, radius: float, node_points: int = NODE_POINTS) -> DataFrame:
     """(id_a, id_b): every unordered pair of different ids at most ``radius`` apart, once, id_a < id_b.
 
-    ``points`` has unique ``id`` (bigint) and finite ``x``, ``y``. The upper part of
+    ``points`` has unique ``id`` (bigint) and finite ``x``, ``y``; with a column ``kind`` only
+    pairs of one kind come out. The upper part of
     the dual-tree join is relational: nodes of bounded size with their boxes, pairs
     of nodes further apart than the radius discarded, and each remaining pair's
     points sent to one task, the right node's only as far as they lie near the left
@@ -176,7 +181,8 @@ def pairs_within(points: DataFrame, radius: float, node_points: int = NODE_POINT
 def counts_within(points: DataFrame, radius: float, node_points: int = NODE_POINTS) -> DataFrame:
     """(id, n): how many other ids lie within ``radius`` of each id, 0 included.
 
-    As pairs_within, but certain node pairs are counted wholesale, so no pair is written.
+    With a column ``kind`` in ``points`` only ids of the same kind count (NULL is no
+    kind: filter it out first). As pairs_within, but certain node pairs are counted wholesale, so no pair is written.
     """
 
     def work(own, ids, x, y, right):

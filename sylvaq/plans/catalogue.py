@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["sylvaq.plans.records", "sylvaq.plans.records_sql"]
+MODULES = ["sylvaq.plans.trees", "sylvaq.plans.trees_sql", "sylvaq.plans.records", "sylvaq.plans.records_sql"]
 
 
 def _collect(name: str) -> dict:
