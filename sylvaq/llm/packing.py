@@ -75,7 +75,7 @@ def pieces(items: DataFrame, kinds: DataFrame, segment_tokens: int, loss_share:
     each = F.array(*[F.struct(F.lit(r.kind_id).cast("bigint").alias("kind_id"), F.lit(r.capacity_tokens).cast("bigint").alias("capacity")) for r in rows])
     if not rows:
         each = each.cast("array<struct<kind_id:bigint,capacity:bigint>>")
-    cut = items.where(F.col("tokens") > 0).select("*", F.explode(each).alias("k")).select("id", "tokens", "loss_from", "k.*")
+    cut = items.where(F.col("tokens") > 0).select("id", "tokens", "loss_from", F.explode(each).alias("k")).select("id", "tokens", "loss_from", "k.*")
     cut = cut.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("tokens") - 1) / F.col("capacity")))))
     start = F.col("piece") * F.col("capacity")
     end = F.least("tokens", start + F.col("capacity"))

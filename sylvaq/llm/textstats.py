@@ -222,13 +222,13 @@ def _coded(stats: DataFrame, votes: tuple[Vote, ...]) -> DataFrame:
     code = F.lit(0)
     for v in votes:
         code = code * 3 + v.column()
-    return stats.withColumn("votes", code.cast("int"))
+    return stats.withColumn("__votes", code.cast("int"))
 
 
 def _patterns(coded: DataFrame, m: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Vote patterns and their counts: at most 3**m rows reach the driver, however many documents."""
-    rows = coded.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
-    codes = [r.votes for r in rows]
+    rows = coded.groupBy("__votes").agg(F.count(F.lit(1)).alias("n")).orderBy("__votes").collect()
+    codes = [r["__votes"] for r in rows]
     patterns = np.array([[c // 3 ** (m - 1 - j) % 3 for j in range(m)] for c in codes], np.int64).reshape(len(codes), m)
     return codes, patterns, np.array([r.n for r in rows], float)
 
@@ -246,10 +246,10 @@ def text_types(stats: DataFrame, votes: tuple[Vote, ...] = VOTES) -> DataFrame:
     coded = _coded(stats, votes)
     codes, patterns, counts = _patterns(coded, len(votes))
     if not codes:
-        return coded.drop("votes").withColumns({"junk_probability": F.lit(0.0), "text_type": F.lit("")}).limit(0)
+        return coded.drop("__votes").withColumns({"junk_probability": F.lit(0.0), "text_type": F.lit("")}).limit(0)
     post, _, _ = learn_votes(patterns, counts)
-    table = stats.sparkSession.createDataFrame([(c, float(p)) for c, p in zip(codes, post)], "votes int, junk_probability double")
-    out = coded.join(F.broadcast(table), "votes").drop("votes")  # at most 3**12 rows of two numbers
+    table = stats.sparkSession.createDataFrame([(c, float(p)) for c, p in zip(codes, post)], "__votes int, junk_probability double")
+    out = coded.join(F.broadcast(table), "__votes").drop("__votes")  # at most 3**12 rows of two numbers
     return out.withColumn("text_type", F.when((F.col("n_words") == 0) | (F.col("junk_probability") > 0.5), "other").otherwise("prose"))
 
 
