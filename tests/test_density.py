@@ -1,0 +1,73 @@
+import numpy as np
+
+from sylvaq.operators.components import min_labels
+from sylvaq.operators.density import density_clusters, describe_clusters
+
+
+def procedural(p, r, least):
+    """Textbook clustering: dense points, flood fill, borders to the cluster with the lowest dense id."""
+    near = ((p[:, None] - p[None]) ** 2).sum(-1) <= r * r
+    dense = near.sum(1) >= least
+    root = {}
+    for i in range(len(p)):
+        if dense[i] and i not in root:
+            todo = [i]
+            root[i] = i
+            while todo:
+                k = todo.pop()
+                for j in np.flatnonzero(near[k] & dense):
+                    if j not in root:
+                        root[j] = i
+                        todo.append(j)
+    for i in range(len(p)):
+        if not dense[i] and (options := [root[j] for j in np.flatnonzero(near[i] & dense)]):
+            root[i] = min(options)
+    low = {}
+    for i, k in root.items():
+        low[k] = min(low.get(k, i), i)
+    touching = sum(1 for i in range(len(p)) if not dense[i] and len({root[j] for j in np.flatnonzero(near[i] & dense)}) > 1)
+    return {(low[k], i) for i, k in root.items()}, dense, touching
+
+
+def test_against_procedural(spark):
+    seen = 0
+    for seed, n, least in ((1, 700, 10), (2, 500, 4), (6, 600, 6)):
+        rng = np.random.default_rng(seed)
+        p = np.round(rng.uniform(0, 600, (n, 2)) * 4) / 4
+        p[:30] = p[0] + rng.uniform(0, 2, (30, 2)).round()  # a crowded cell with copies
+        want, dense, touching = procedural(p, 25.0, least)
+        seen += touching
+        df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id bigint, x double, y double")
+        got = [(r.cluster_key, r.id) for r in density_clusters(df, 25.0, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert 0 < dense.sum() < n and len(want) < n
+    assert seen  # borders with a choice were among the cases
+
+
+def test_chain_and_empty(spark):
+    df = spark.createDataFrame([(i, 20.0 * i, 0.0) for i in range(200)], "id bigint, x double, y double")
+    out = density_clusters(df, 25.0, 3)
+    assert {(r.cluster_key, r.id) for r in out.collect()} == {(0, i) for i in range(200)}
+    assert density_clusters(df.limit(0), 25.0, 3).count() == 0
+    assert density_clusters(df, 25.0, 10).count() == 0
+    kind = spark.createDataFrame([(i, i % 2 if i else None) for i in range(200)], "id bigint, kind int")
+    r = describe_clusters(out, kind).first()
+    assert (r["size"], r.dense_members, r.dominant) == (200, 198, 1) and r.typical == "0"
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, n, (220, 2))]
+    root = list(range(n))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = min_labels(spark.range(n), spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert {(r.id, r.root) for r in got.collect()} == {(i, find(i)) for i in range(n)}
