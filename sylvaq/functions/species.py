@@ -63,6 +63,11 @@ def biomass(name: Column, d: Column, h: Column) -> Column:
     return expr.when(name.isin(*LOG10_FORM["species"]), oak).otherwise(0.0)
 
 
+def polynomial_biomass(d: Column, h: Column, inter: float, slope: float) -> Column:
+    """The linear form in d * d * h, which none of the listed species uses."""
+    return inter + slope * d * d * h
+
+
 def calculate_biomass(name: str | None, dbh_cm: float, h_m: float) -> float:
     """The same for plain values; what the equations cannot give is 0."""
     import math

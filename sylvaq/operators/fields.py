@@ -32,8 +32,9 @@ def split_field(
     raise a nesting depth that protects delimiters until it falls back to zero,
     and the escape character makes a following delimiter, quote or escape plain.
     A quote inside a bare value is an ordinary character. What never closes does
-    not protect: a quote without its partner and a bracket without its partner
-    count as ordinary characters, and the rest is read again as bare text.
+    not protect: from a quote or bracket without its partner on, that quote
+    character, or all brackets, are ordinary characters, and the text is read
+    again from there. That happens once per kind, so the time is linear.
     Bare values are trimmed and dropped when blank; a quoted value is kept as it
     stands, even when blank. None and blank texts give no values.
     """
@@ -43,7 +44,7 @@ def split_field(
     n, i = len(text), 0
     state, depth, quote, begin = _LEAD, 0, "", 0
     buf: list[str] = []
-    literal_quote_at = literal_bracket_at = -1
+    opening, brackets = set(quotes), True
     bracket_at, bracket_len = -1, 0
 
     def flush() -> None:
@@ -58,10 +59,11 @@ def split_field(
     while True:
         if i == n:
             if state == _QUOTED:  # never closed: read again as bare text
-                literal_quote_at, i, buf, state = begin, begin, [], _LEAD
+                opening.discard(quote)
+                i, buf, state = begin, [], _LEAD
                 continue
             if state == _BARE and depth:  # never closed: brackets are plain from here
-                literal_bracket_at, i, depth = bracket_at, bracket_at, 0
+                brackets, i, depth = False, bracket_at, 0
                 buf = buf[:bracket_len]
                 continue
             flush()
@@ -70,7 +72,7 @@ def split_field(
         if state == _LEAD:
             if c in delimiters or c.isspace():
                 i += 1
-            elif c in quotes and i != literal_quote_at:
+            elif c in opening:
                 state, quote, begin, tail = _QUOTED, c, i, False
                 i += 1
             else:
@@ -96,7 +98,7 @@ def split_field(
         elif c == escape and i + 1 < n and (text[i + 1] in delimiters or text[i + 1] in quotes or text[i + 1] == escape):
             buf.append(text[i + 1])
             i += 2
-        elif c in OPEN and i > literal_bracket_at:
+        elif brackets and c in OPEN:
             if not depth:
                 bracket_at, bracket_len = i, len(buf)
             depth += 1

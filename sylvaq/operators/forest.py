@@ -16,8 +16,8 @@ from sylvaq.scratch import checkpointed
 
 def forest(features: list[str], target: str, trees: int, depth: int, seed: int = 42) -> Pipeline:
     """Assembler and forest; every split may use all features. Depth is at most 30."""
-    rf = RandomForestRegressor(featuresCol="x", labelCol=target, predictionCol="pred", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), rf])
+    rf = RandomForestRegressor(featuresCol="__features", labelCol=target, predictionCol="pred", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__features"), rf])
 
 
 def forest_cv(df: DataFrame, group: str, features: list[str], target: str, key: str, trees: int = 200, depth: int = 30, folds: int = 5, parallel: int = 4) -> DataFrame:

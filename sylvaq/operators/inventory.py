@@ -5,8 +5,7 @@ All steps are column expressions over one row per tree: no shuffle, no window.
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +32,29 @@ def model_choice(models: DataFrame, preference: str = "best") -> DataFrame:
     return one.select("species", "m.*")
 
 
-def impute_diameters(df: DataFrame, models: DataFrame) -> DataFrame:
+def forest_predictions(df: DataFrame, key: str, forests: dict[tuple[str, str], PipelineModel]) -> DataFrame:
+    """(key, species, features, p15..p23): predictions of stored forests for the trees of their species.
+
+    ``forests``: (species name, feature set) -> model, one per species. Each model
+    transforms only its species' readings with a height other than 0 and, if it
+    uses the crown, a crown above 0; the years come back side by side by one aggregate.
+    """
+    df = _clean_measures(df, ("H", "DP")).withColumn("__name", species_name(F.col("Species")))
+    cells = F.array(*[F.struct(F.lit(y).alias("y"), F.col(f"H{y}").alias("tree_height_m"), F.when(F.col(f"DP{y}") > 0, F.col(f"DP{y}")).alias("crown_diameter_m")) for y in YEARS])
+    long = df.select(key, "__name", F.explode(cells).alias("c")).select(key, "__name", "c.*").where(F.col("tree_height_m") != 0)
+    out = None
+    for (name, features), model in forests.items():
+        own = long.where(F.col("__name") == name)
+        if "Crown" in features:
+            own = own.where(F.col("crown_diameter_m").isNotNull())
+        p = model.transform(own).select(key, F.lit(name).alias("species"), F.lit(features).alias("features"), "y", "pred")
+        out = p if out is None else out.unionByName(p)
+    if out is None:
+        raise ValueError("no forests given")
+    return out.groupBy(key, "species", "features").agg(*[F.max(F.when(F.col("y") == y, F.col("pred"))).alias(f"p{y}") for y in YEARS])
+
+
+def impute_diameters(df: DataFrame, models: DataFrame, key: str | None = None, forest: DataFrame | None = None, with_rmse: bool = False) -> DataFrame:
     """``df`` with cleaned H and DP and, per survey year, ``TD{yy}`` and ``TD{yy}_model``.
 
     Per year in order: without a height (missing or 0) the last diameter is
@@ -42,11 +63,18 @@ def impute_diameters(df: DataFrame, models: DataFrame) -> DataFrame:
     '_MonotonicFix'. A species without a model, or a crown model without a crown
     above 0, carries the last diameter with an empty tag. Species ids outside the
     list leave the diameter NULL and the tag empty. ``models`` has unique
-    ``species`` names, a short table whose size decides the join.
+    ``species`` names, a short table whose size decides the join. With ``forest``
+    (forest_predictions' result, unique in ``key``) species found there use those
+    predictions, tag 'RandomForest_...', instead of a linear model. With
+    ``with_rmse`` the column ``rmse`` of ``models`` comes out as ``TD{yy}_rmse`` where a
+    linear model predicted.
     """
     df = _clean_measures(df, ("H", "DP")).withColumn("Species_Name", species_name(F.col("Species")))
-    m = models.select(F.col("species").alias("__species"), F.struct("features", "c0", "c_height", "c_crown").alias("__m"))
+    m = models.select(F.col("species").alias("__species"), F.struct("features", "c0", "c_height", "c_crown", *(["rmse"] if with_rmse else [])).alias("__m"))
     df = df.join(m, F.col("Species_Name") == F.col("__species"), "left")
+    if forest is not None:
+        f = forest.select(F.col(key).alias("__key"), F.struct("features", *[f"p{y}" for y in YEARS]).alias("__f"))
+        df = df.join(f, F.col(key) == F.col("__key"), "left").drop("__key")
     state: Column = F.lit(0.0)
     new: dict[str, Column] = {}
     for y in YEARS:
@@ -55,14 +83,20 @@ def impute_diameters(df: DataFrame, models: DataFrame) -> DataFrame:
         pred = F.col("__m.c0") + F.coalesce(F.col("__m.c_height") * h, F.lit(0.0))
         uses = F.col("__m.features").contains("Crown")
         pred = F.when(uses, pred + F.col("__m.c_crown") * crown).otherwise(pred)
+        label = F.concat(F.lit("Linear_"), F.col("__m.features"))
+        if forest is not None:
+            pred = F.when(F.col("__f").isNull(), pred).otherwise(F.col(f"__f.p{y}"))
+            label = F.when(F.col("__f").isNull(), label).otherwise(F.concat(F.lit("RandomForest_"), F.col("__f.features")))
         pred = F.when(h.isNotNull() & (h != 0), pred)
         df = df.withColumn(f"__p{y}", pred)
         known = F.col("Species_Name").isNotNull()
-        tag = F.concat(F.lit("Linear_"), F.col("__m.features"), F.when(F.col(f"__p{y}") < state, "_MonotonicFix").otherwise(""))
+        tag = F.concat(label, F.when(F.col(f"__p{y}") < state, "_MonotonicFix").otherwise(""))
         tag = F.when(~known, "").when(h.isNull() | (h == 0), "CarryForward").when(F.col(f"__p{y}").isNull(), "").otherwise(tag)
         state = F.greatest(state, F.coalesce(F.col(f"__p{y}"), F.lit(0.0)))
         new |= {f"TD{y}": F.when(known, state), f"TD{y}_model": tag}
-    return df.withColumns(new).drop("__species", "__m", *[f"__p{y}" for y in YEARS])
+        if with_rmse:
+            new[f"TD{y}_rmse"] = F.when(tag.startswith("Linear_"), F.col("__m.rmse"))
+    return df.withColumns(new).drop("__species", "__m", "__f", *[f"__p{y}" for y in YEARS])
 
 
 def long_diameters(df: DataFrame, key: str) -> DataFrame:

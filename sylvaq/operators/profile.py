@@ -45,7 +45,8 @@ def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     for a, b in product(features, features):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        aggs.append(F.when((F.var_samp(x) > 0) & (F.var_samp(y) > 0), F.corr(x, y)).alias(f"{a}|{b}"))
+        # the built-in correlation fails on a constant column
+        aggs.append(F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))).alias(f"{a}|{b}"))
     one = df.agg(*aggs)
     cells = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in product(features, features)])
     return one.select(F.explode(cells).alias("c")).select("c.*")

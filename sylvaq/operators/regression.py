@@ -64,16 +64,21 @@ class Fit:
         self.t = np.full(k - 1, np.nan)
         self.p = np.full(k - 1, np.nan)
         self.intercept = self.r2 = self.p0 = np.nan
-        dof = n - len(self.used) - 1
-        if not self.used or dof < 0:
+        if not self.used or n < 2:
             self.status = "degenerate"
             return
         sd = np.sqrt(self.var[self.used])
         r = cov[np.ix_(self.used, self.used)] / np.outer(sd, sd)
-        if np.linalg.eigvalsh(r)[0] < SINGULAR:
-            self.status = "singular"
+        eigen, axes = np.linalg.eigh(r)
+        live = eigen > SINGULAR
+        rank = int(live.sum())
+        dof = n - rank - 1
+        if dof < 0:
+            self.status = "degenerate"
             return
-        inv = np.linalg.inv(r) / np.outer(sd, sd)
+        if rank < len(self.used):
+            self.status = "singular"
+        inv = (axes[:, live] / eigen[live]) @ axes[:, live].T / np.outer(sd, sd)
         xy = cov[self.used, -1]
         beta = inv @ xy
         sse = max(0.0, float(self.var[-1] - beta @ xy))
@@ -100,9 +105,10 @@ def ols(df: DataFrame, group: list[str], features: list[str], target: str) -> Da
     """(group, n, status, intercept, r2, variable, coef, t, p): one row per group and feature.
 
     Rows with a missing feature or target are left out. ``status``: 'ok',
-    'degenerate' (no varying feature or too few rows) or 'singular' (features that
-    determine each other), the latter two with NULL coefficients; constant features
-    have NULL coefficients and take no part.
+    'degenerate' (no varying feature or too few rows), then with NULL coefficients, or
+    'singular' (features that determine each other), then with the solution of least
+    norm in standardised features; constant features have NULL coefficients and take
+    no part.
     """
     m = moments(complete(df, [*features, target]), group, [*features, target])
     head = m.select(*group).schema
@@ -271,3 +277,16 @@ def best_rows(results: DataFrame, group: str = "species", score: str = "r2", ord
     live = results.where(F.col(score).isNotNull() & ~F.isnan(score))
     best = live.groupBy(group).agg(F.min_by(F.struct(*rest), F.struct((-F.col(score)).alias("s"), F.col(order))).alias("b"))
     return best.select(group, "b.*")
+
+
+def summarise(best: DataFrame, texts: DataFrame, strict: bool = False) -> DataFrame:
+    """(species, best_model, best_features, best_R2, formula_if_linear) of the best models.
+
+    The formula is that of the winning feature set, whatever kind of model won;
+    with ``strict`` a winner that is not linear has none.
+    """
+    out = best.join(texts.select("species", "features", "formula"), ["species", "features"], "left")
+    shown = F.when(F.col("model") == "Linear", F.col("formula")) if strict else F.col("formula")
+    return out.select(
+        "species", F.col("model").alias("best_model"), F.col("features").alias("best_features"), F.col("r2").alias("best_R2"), F.coalesce(shown, F.lit("N/A (RF Best)")).alias("formula_if_linear")
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from sylvaq.operators import growth_models as gm
 from sylvaq.operators import panel as pn
 from sylvaq.operators import profile, stands
 from sylvaq.operators import regression as reg
-from sylvaq.operators.inventory import YEARS, annual_growth, carbon_stocks, impute_diameters, long_diameters, model_choice, period_growth
-from sylvaq.operators.near import counts_within, pairs_within
+from sylvaq.operators.inventory import YEARS, annual_growth, carbon_stocks, forest_predictions, impute_diameters, long_diameters, model_choice, period_growth
+from sylvaq.operators.near import counts_within, located_points, pairs_within
 from sylvaq.plans.records import CARBON, DENSE, RADIUS, X_RANGE, Y_RANGE
 from sylvaq.scratch import checkpointed, scratch_dir
 from sylvaq.sources.tables import nan_to_null, read_csv, table, write_csv
@@ -150,8 +151,32 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     for label, features in SETS.items():
         f = reg.formulas(s, "species", label, features, TARGET).select("species", "features", "formula")
         texts = f if texts is None else texts.unionByName(f)
-    out = best.join(texts, ["species", "features"], "left")
-    return out.select("species", F.col("model").alias("best_model"), F.col("features").alias("best_features"), F.round("r2", 6).alias("best_R2"), F.coalesce("formula", F.lit("N/A (RF Best)")).alias("formula_if_linear"))
+    return reg.summarise(best, texts).withColumn("best_R2", F.round("best_R2", 6))
+
+
+def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of linear models and forests, six rows per species."""
+    s = checkpointed(_samples(spark, sf_dir))
+    out = None
+    for label, features in SETS.items():
+        linear = reg.cross_validate(s, "species", features, TARGET, "sample_id", folds=2).withColumn("model", F.lit("Linear"))
+        trees = rf.forest_cv(s, "species", features, TARGET, "sample_id", trees=TREES, depth=DEPTH, folds=2).withColumn("model", F.lit("RandomForest"))
+        both = linear.unionByName(trees).select("species", F.lit(label).alias("features"), "model", F.col("rmse").alias("RMSE"), F.col("r2").alias("R2"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def impute_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputation with forests for the two most sampled species, stored and loaded again, and linear models for the rest."""
+    s, trees = checkpointed(_samples(spark, sf_dir)), table(spark, sf_dir, "tree")
+    folder = f"{scratch_dir(spark)}/models-{uuid4().hex}"
+    forests = {}
+    for r in profile.species_with(s, LEAST_SAMPLES).limit(2).collect():
+        own = reg.complete(s.where(F.col("species") == r.species), [*SETS["Height"], TARGET])
+        path = rf.save_model(rf.forest(SETS["Height"], TARGET, TREES, DEPTH).fit(own), folder, f"{r.species}_Height_rf")
+        forests[r.species, "Height"] = rf.load_model(path)
+    done = impute_diameters(trees, _models(spark, sf_dir, "best"), "rec_id", forest_predictions(trees, "rec_id", forests))
+    return long_diameters(done, "rec_id")
 
 
 def rf_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +191,7 @@ def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples written as CSV and read again under a declared schema."""
     s = table(spark, sf_dir, "all_species_summary")
-    path = f"{scratch_dir(spark)}/samples_csv"
+    path = f"{scratch_dir(spark)}/samples_csv-{uuid4().hex}"
     write_csv(s, path)
     return read_csv(spark, path, T.StructType(s.schema.fields))
 
@@ -227,7 +252,8 @@ def split_height_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regression_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gm.performance(checkpointed(_ordered(_grouped(spark, sf_dir))), "mix")
+    g = checkpointed(_ordered(_grouped(spark, sf_dir)))
+    return gm.performance(g, "mix").unionByName(gm.forest_performance(g, "mix", trees=TREES, depth=DEPTH))
 
 
 def coefficient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,12 +312,12 @@ def regime_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stands.site_regimes(*_regimes(spark, sf_dir)).groupBy("regime").agg(F.count(F.lit(1)).alias("sites"))
 
 
-def _vif_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vif_frame(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     c = _carbon(spark, sf_dir)
     kinds = dict(c.dtypes)
     n = lambda col: number(F.col(col), kinds[col])
     return c.select(
-        n("H15").alias("Initial_H"), n("lightemiss").alias("lightemiss"), mean_present(n("noise17d"), n("noise22d")).alias("avg_noise_day"), n("Density25").alias("Density25"), n("Mono_Rate").alias("Mono_Rate"),
+        *(keep or []), n("noise22d").alias("avg_noise_night"), n("H15").alias("Initial_H"), n("lightemiss").alias("lightemiss"), mean_present(n("noise17d"), n("noise22d")).alias("avg_noise_day"), n("Density25").alias("Density25"), n("Mono_Rate").alias("Mono_Rate"),
         mean_present(nonzero(n("svf15")), nonzero(n("svf17"))).alias("avg_svf"), n("ra15_17").alias("avg_radiation"), n("LST_1516").alias("avg_LST"), *[f.alias(k) for k, f in soil_flags(F.col("soil")).items()],
     )
 
@@ -303,6 +329,20 @@ def _vif(features: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def vif_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 17 features, with the diameter imputed and densities at three radii counted anew."""
+    carbon = _carbon(spark, sf_dir)
+    frame = _vif_frame(spark, sf_dir, ["tree_id"]).drop("Density25")
+    td = _imputed(spark, sf_dir).groupBy(F.col("tree_id")).agg(F.max("TD15").alias("Initial_TD"))
+    sites = checkpointed(located_points(carbon, "tree_id", "X", "Y", X_RANGE, Y_RANGE))
+    near = None
+    for name, radius in (("Density_10", 10.0), ("Density_15", 15.0), ("Density25", RADIUS)):
+        n = counts_within(sites, radius).select(F.col("id").alias("tree_id"), F.col("n").cast("double").alias(name))
+        near = n if near is None else near.join(n, "tree_id")
+    full = frame.join(td, "tree_id", "left").join(near, "tree_id", "left")
+    return reg.vif(checkpointed(full), ["Initial_TD", "Density_10", "Density_15", "avg_noise_night", *VIF_ALL])
+
+
 VIF_ALL = ["Initial_H", "lightemiss", "avg_noise_day", "Density25", "Mono_Rate", "avg_svf", "avg_radiation", "avg_LST", "soil_has_clay", "soil_has_infill", "soil_has_silt_sand", "soil_has_moraine", "soil_has_bedrock"]
 
 
@@ -311,9 +351,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             carbon_stock_wide, carbon_growth_annual, carbon_growth_period, carbon_by_species, impute_monotonic, impute_wide, impute_best, impute_tag_counts, species_min_count, species_describe,
-            feature_correlation, ols_tvalues_single, ols_pvalues, linear_formulas, best_model, model_summary, rf_cv_metrics, rf_importance, samples_csv, panel_long, panel_clean, soil_code_flags,
+            feature_correlation, ols_tvalues_single, ols_pvalues, linear_formulas, best_model, model_summary, model_results, impute_forest, rf_cv_metrics, rf_importance, samples_csv, panel_long, panel_clean, soil_code_flags,
             panel_medians, panel_median_fill, feature_gate, standardised_panel, split_height_metrics, regression_performance, coefficient_table, tile_matrix, tile_wide, significance_labels,
-            neighbor_pairs, density25, mono_rate, dbscan_labels, cluster_regime, regime_counts,
+            neighbor_pairs, density25, mono_rate, dbscan_labels, cluster_regime, regime_counts, vif_workflow,
         )
     }
     return named | {

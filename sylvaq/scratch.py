@@ -14,8 +14,9 @@ SETTING = "spark.checkpoint.dir"
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test session) is a temporary
-    folder made, used for this process and removed at its end.
+    Only where that setting is absent, in a local test session, is a temporary
+    folder made, used for this process and removed at its end; a cluster without
+    the setting is refused, as its machines share no such folder.
     """
     named = spark.conf.get(SETTING, None)
     sc = spark.sparkContext
@@ -25,6 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="sylvaq-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)
