@@ -3,7 +3,7 @@
 Locations are quantised to cells whose points all lie within the radius of each
 other, so a cell with enough points is dense as a whole and the dense points of
 one cell always share a cluster. Only points of poor cells are counted against
-their 21 cells around; adjacent cells with dense points are joined when a dense
+the points around; adjacent cells with dense points are joined when a dense
 pair lies within the radius; the minimum label is propagated over these cells.
 """
 
@@ -19,6 +19,8 @@ from sylvaq.scratch import checkpointed
 
 #: Cells whose nearest points may lie within the radius: 5 x 5 without the corners.
 AROUND = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if abs(dx) + abs(dy) < 4]
+#: Side, in cells, of the blocks by which points meet those around them; the 5 x 5 cells around a point touch just 4 blocks.
+BLOCK = 4
 AHEAD = [(dx, dy) for dx, dy in AROUND if (dy, dx) > (0, 0)]
 
 
@@ -84,13 +86,17 @@ def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
     cell_n = spots.groupBy("cx", "cy").agg(F.sum("w").alias("cell_n"))
     spots = checkpointed(spots.join(cell_n, ["cx", "cy"]))
 
-    # poor points against everything around; the poor side has fewer than `least` points a cell
+    # points against everything around: 4 blocks each, instead of 21 cells
     def around(p: DataFrame) -> DataFrame:
-        p = p.select(F.col("first").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), "cx", "cy", _offsets(AROUND).alias("o"))
-        return p.withColumns({"cx": F.col("cx") + F.col("o.dx"), "cy": F.col("cy") + F.col("o.dy")}).drop("o")
+        low, high = [F.floor((F.col(c) - 2) / BLOCK) for c in ("cx", "cy")], [F.floor((F.col(c) + 2) / BLOCK) for c in ("cx", "cy")]
+        four = F.explode(F.array(*[F.struct(i.alias("bx"), j.alias("by")) for i in (low[0], high[0]) for j in (low[1], high[1])]))
+        return p.select(F.col("first").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), four.alias("o")).select("p", "px", "py", "o.bx", "o.by")
+
+    def blocks(q: DataFrame, *columns: str) -> DataFrame:
+        return q.select(F.floor(F.col("cx") / BLOCK).alias("bx"), F.floor(F.col("cy") / BLOCK).alias("by"), "x", "y", *columns)
 
     poor = spots.where(F.col("cell_n") < least)
-    near = around(poor).join(spots.select("cx", "cy", "x", "y", "w"), ["cx", "cy"]).where(_within("px", "py", "x", "y", radius))
+    near = around(poor).join(blocks(spots, "w"), ["bx", "by"]).where(_within("px", "py", "x", "y", radius))
     counts = near.groupBy(F.col("p").alias("first")).agg(F.sum("w").alias("near"))
     spots = spots.join(counts, "first", "left").withColumn("dense", (F.col("cell_n") >= least) | (F.coalesce("near", F.lit(0)) >= least))
     spots = checkpointed(spots.select("first", "x", "y", "cx", "cy", "dense"))
@@ -101,7 +107,7 @@ def density_clusters(points: DataFrame, radius: float, least: int) -> DataFrame:
     roots = min_labels(labels.select(F.col("label").alias("id")), _touching(dense, radius))
     dense = checkpointed(dense.join(roots.withColumnRenamed("id", "label"), "label").select("first", "x", "y", "cx", "cy", "root"))
 
-    border = around(spots.where(~F.col("dense"))).join(dense.select("cx", "cy", "x", "y", "root"), ["cx", "cy"])
+    border = around(spots.where(~F.col("dense"))).join(blocks(dense, "root"), ["bx", "by"])
     border = border.where(_within("px", "py", "x", "y", radius)).groupBy(F.col("p").alias("first")).agg(F.min("root").alias("root"))
     member = dense.select("first", "root", F.lit(True).alias("dense")).unionByName(border.select("first", "root", F.lit(False).alias("dense")))
     place = spots.join(member, "first", "inner").select("x", "y", "root", member["dense"], "cx", "cy")
