@@ -16,18 +16,19 @@ SOURCE = ["source", "field"]
 
 
 def readings(df: DataFrame, item: str, source: str, order: str, fields: list[str]) -> DataFrame:
-    """(source, field, item, ord, v): the readings, one row per item and field.
+    """(source, field, item, ord, v): the readings, one row per item, field and place in its source.
 
-    NULL, NaN and 0 are no readings. Repeated rows of an item count once; if
-    they disagree, the smallest (source, order, value) is taken, so the result
-    does not depend on file order. Rows with NULL item have no identity and are
-    left out; a NULL source is a source of its own.
+    NULL, NaN and 0 are no readings. Repeated rows of an item count once, before
+    the fields are unpivoted; if they disagree, the smallest reading counts, so the
+    result does not depend on file order. Rows with NULL item have no identity and
+    are left out; a NULL source is a source of its own.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("double").alias("v")) for f in fields])).alias("c")
-    long = df.select(F.col(f"`{item}`").alias("item"), F.col(f"`{source}`").alias("source"), F.col(f"`{order}`").alias("ord"), cells)
-    long = long.where(F.col("item").isNotNull() & F.col("c.v").isNotNull() & ~F.isnan("c.v") & (F.col("c.v") != 0))
-    one = long.groupBy("item", F.col("c.field").alias("field")).agg(F.min(F.struct("source", "ord", F.col("c.v").alias("v"))).alias("r"))
-    return one.select("r.source", "field", "item", "r.ord", "r.v")
+    v = {f: F.col(f"`{f}`").cast("double") for f in fields}
+    kept = [F.when(~F.isnan(c) & (c != 0), c).alias(f"v{i}") for i, c in enumerate(v.values())]
+    wide = df.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), F.col(f"`{source}`").alias("source"), F.col(f"`{order}`").alias("ord"), *kept)
+    one = wide.groupBy("item", "source", "ord").agg(*[F.min(f"v{i}").alias(f"v{i}") for i in range(len(fields))])
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v{i}").alias("v")) for i, f in enumerate(fields)])).alias("c")
+    return one.select("source", "item", "ord", cells).where(F.col("c.v").isNotNull()).select("source", "c.field", "item", "ord", "c.v")
 
 
 def _join_stats(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
