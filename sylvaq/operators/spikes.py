@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvaq.operators.ordered import exact_quantiles
+from sylvaq.operators.ordered import exact_quantiles, prefix_counts
 from sylvaq.scratch import checkpointed
 
 SOURCE = ["source", "field"]
@@ -119,18 +119,19 @@ def rolling_hampel(
     """(source, field, item, ord, v, med, mad, spike): the Hampel filter in a rolling window
     of ``half`` readings on either side, clipped at the ends of the source.
 
-    The window runs inside blocks of ``block`` order numbers; each block also
-    receives ``block // 8`` order numbers of its neighbours as a margin, so that
-    no task holds a whole source. The margin must hold ``half`` readings on each
-    side, which dense recording order gives; where a margin holds fewer, the
-    window there is shorter. ``floor`` is the least MAD used.
+    Readings are numbered along their source by a range sort with prefix counts;
+    the window then runs inside blocks of ``block`` numbers, which also receive the
+    ``half`` readings before and after them. So the windows are whole and no task
+    holds a whole source. Ties in the order are broken by item; ``floor`` is the
+    least MAD used.
     """
     r = readings(df, item, source, order, fields)
-    margin = max(block // 8, half)
-    at = F.coalesce(F.col("ord"), F.lit(0))
+    r = r.select(*SOURCE, F.struct("ord", "item", "v").alias("o"), F.lit(1).cast("bigint").alias("one"))
+    r = prefix_counts(r, SOURCE, "o", ["one"])
+    at, size = F.col("one_upto") - 1, F.col("one_all")
     own = F.floor(at / F.lit(block))
-    reach = F.array_distinct(F.array(F.floor((at - margin) / F.lit(block)), own, F.floor((at + margin) / F.lit(block))))
-    b = r.select("*", own.alias("own"), F.explode(reach).alias("blk"))
+    first, last = F.greatest(F.lit(0), F.floor((at - half) / F.lit(block))), F.floor(F.least(size - 1, at + half) / F.lit(block))
+    b = r.select(*SOURCE, "o.item", "o.ord", "o.v", own.alias("own"), F.explode(F.sequence(first, last)).alias("blk"))
     w = Window.partitionBy(*SOURCE, "blk").orderBy("ord", "item").rowsBetween(-half, half)
     b = b.withColumn("near", F.collect_list("v").over(w)).where(F.col("own") == F.col("blk")).drop("own", "blk")
     schema = T.StructType([*b.drop("near").schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("med", "mad")]])
