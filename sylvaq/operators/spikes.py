@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,19 @@ from sylvaq.scratch import checkpointed
 SOURCE = ["source", "field"]
 
 
+def _wide(df: DataFrame, item: str, source: str, order: str, fields: list[str]) -> DataFrame:
+    """(item, source, ord, v0, v1, ...): one row per item and place, repeated rows counted once."""
+    v = {f: F.col(f"`{f}`").cast("double") for f in fields}
+    kept = [F.when(~F.isnan(c) & (c != 0), c).alias(f"v{i}") for i, c in enumerate(v.values())]
+    wide = df.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), F.col(f"`{source}`").alias("source"), F.col(f"`{order}`").alias("ord"), *kept)
+    return wide.groupBy("item", "source", "ord").agg(*[F.min(f"v{i}").alias(f"v{i}") for i in range(len(fields))])
+
+
+def _unpivot(wide: DataFrame, fields: list[str]) -> DataFrame:
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v{i}").alias("v")) for i, f in enumerate(fields)])).alias("c")
+    return wide.select("source", "item", "ord", cells).where(F.col("c.v").isNotNull()).select("source", "c.field", "item", "ord", "c.v")
+
+
 def readings(df: DataFrame, item: str, source: str, order: str, fields: list[str]) -> DataFrame:
     """(source, field, item, ord, v): the readings, one row per item, field and place in its source.
 
@@ -23,12 +37,7 @@ def readings(df: DataFrame, item: str, source: str, order: str, fields: list[str
     result does not depend on file order. Rows with NULL item have no identity and
     are left out; a NULL source is a source of its own.
     """
-    v = {f: F.col(f"`{f}`").cast("double") for f in fields}
-    kept = [F.when(~F.isnan(c) & (c != 0), c).alias(f"v{i}") for i, c in enumerate(v.values())]
-    wide = df.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), F.col(f"`{source}`").alias("source"), F.col(f"`{order}`").alias("ord"), *kept)
-    one = wide.groupBy("item", "source", "ord").agg(*[F.min(f"v{i}").alias(f"v{i}") for i in range(len(fields))])
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v{i}").alias("v")) for i, f in enumerate(fields)])).alias("c")
-    return one.select("source", "item", "ord", cells).where(F.col("c.v").isNotNull()).select("source", "c.field", "item", "ord", "c.v")
+    return _unpivot(_wide(df, item, source, order, fields), fields)
 
 
 def _join_stats(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
@@ -84,6 +93,70 @@ def _reasons(bad_bounds: Column, off: Column) -> Column:
     return F.array_compact(F.array(F.when(bad_bounds, F.lit("bounds")), F.when(off, F.lit("spike"))))
 
 
+def _whole_sources(wide: DataFrame, fields: list[str], low: float, high: float, k: float, run: int) -> DataFrame:
+    """(item, field, reason) for sources that fit a task: one shuffle by source, then one ordered pass."""
+    rows = wide.repartition("source").sortWithinPartitions("source", "ord", "item")
+    schema = T.StructType([wide.schema["item"], T.StructField("field", T.StringType()), T.StructField("reason", T.StringType())])
+
+    def middle(v: np.ndarray) -> float:
+        lo, hi = np.partition(v, [(len(v) - 1) // 2, len(v) // 2])[[(len(v) - 1) // 2, len(v) // 2]]
+        return lo if lo == hi else lo + (hi - lo) * 0.5
+
+    def flags(v: np.ndarray) -> list[tuple[str, np.ndarray]]:
+        med = middle(v)
+        dist = np.where(v == med, 0.0, np.abs(v - med))
+        at = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
+        size = np.diff(at)
+        return [("bounds", (v < low) | (v > high) | np.isinf(v)), ("spike", dist > k * middle(dist)), ("stuck", np.repeat(size, size) >= run)]
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name: object = ()
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            for i, f in enumerate(fields):
+                col = t.column(f"v{i}")
+                v = col.drop_null().to_numpy()
+                if not len(v):
+                    continue
+                where = np.flatnonzero(col.is_valid().to_numpy())
+                with np.errstate(invalid="ignore"):
+                    found = [(r, where[m]) for r, m in flags(v) if m.any()]
+                for reason, at in found:
+                    yield pa.RecordBatch.from_arrays([t.column("item").take(pa.array(at)).combine_chunks(), pa.array([f] * len(at)), pa.array([reason] * len(at))], names=schema.names)
+
+        def batches() -> Iterator[pa.RecordBatch]:
+            nonlocal held, name
+            for batch in parts:
+                if not batch.num_rows:
+                    continue
+                code = batch.column("source").dictionary_encode()
+                idx = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(idx)) + 1, [len(idx)]])
+                for s, e in zip(cut[:-1], cut[1:]):
+                    own = None if idx[s] < 0 else code.dictionary[int(idx[s])].as_py()
+                    if held and own != name:
+                        yield from finish()
+                        held = []
+                    name = own
+                    held.append(batch.slice(s, e - s))
+            if held:
+                yield from finish()
+
+        # small findings are gathered to batches of a useful size
+        some: list[pa.RecordBatch] = []
+        for b in batches():
+            some.append(b)
+            if len(some) >= 512:
+                yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+                some = []
+        if some:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+    return rows.mapInArrow(work, schema)
+
+
 def implausible_readings(
     df: DataFrame,
     item: str,
@@ -94,6 +167,7 @@ def implausible_readings(
     high: float = 60.0,
     k: float = 9.0,
     run: int = 8,
+    large: int = 200_000,
 ) -> DataFrame:
     """(item, field, reason): readings that cannot be true, a row per reason.
 
@@ -103,14 +177,26 @@ def implausible_readings(
     source whose spread is 0 has every other value flagged). ``stuck``: part of
     ``run`` or more equal readings in a row in ``order``, items without a reading
     skipped. Empty tables, all-missing fields and single readings give no rows.
+
+    Sources of at most ``large`` rows are judged whole, each inside one task, after
+    one shuffle. Larger ones, of which there are few, are spread over tasks: exact
+    medians by range sorts and prefix counts (source_spread), runs stitched across
+    blocks (stuck_runs). Both ways give the same rows.
     """
-    r = checkpointed(readings(df, item, source, order, fields))
+    sizes = df.groupBy(F.col(f"`{source}`").alias("__large")).agg(F.count(F.lit(1)).alias("n"))
+    hot = checkpointed(sizes.where(F.col("n") > large).select("__large"))
+    wide = _wide(df, item, source, order, fields)
+    if hot.isEmpty():
+        return _whole_sources(wide, fields, low, high, k, run)
+    same = F.col("source").eqNullSafe(F.col("__large"))
+    small = _whole_sources(wide.join(hot, same, "left_anti"), fields, low, high, k, run)
+    r = checkpointed(_unpivot(wide.join(hot, same, "left_semi"), fields))
     s = source_spread(r)
     bad = (F.col("v") < low) | (F.col("v") > high) | (F.abs("v") == float("inf"))
     off = F.col("dist") > F.lit(float(k)) * F.col("mad")
     level = s.select("item", "field", F.explode(_reasons(bad, off)).alias("reason"))
     stuck = stuck_runs(r, run).select("item", "field", F.lit("stuck").alias("reason"))
-    return level.unionByName(stuck)
+    return small.unionByName(level).unionByName(stuck)
 
 
 def rolling_hampel(
@@ -137,8 +223,6 @@ def rolling_hampel(
     schema = T.StructType([*b.drop("near").schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("med", "mad")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         def middle(a: np.ndarray, n: np.ndarray) -> np.ndarray:
             # blanks are NaN, which sorts behind every reading
             a, row = np.sort(a, axis=1), np.arange(len(a))

@@ -2,6 +2,8 @@ import math
 import random
 import statistics
 
+import pytest
+
 from sylvaq.operators.spikes import implausible_readings, rolling_hampel, stuck_runs
 
 SCHEMA = "tree bigint, strip string, seq int, H float, item int, source string"
@@ -34,7 +36,8 @@ def brute(data):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("large", [200_000, 124, 1])
+def test_against_brute_force(spark, large):
     rng = random.Random(2)
     data, tree = [], 0
     for strip in ("a", "b", None):
@@ -49,8 +52,8 @@ def test_against_brute_force(spark):
             data.append((tree, strip, seq, v))
             if rng.random() < 0.05:
                 data.append(data[-1])
-    got = implausible_readings(make(spark, data), "tree", "strip", "seq", ["H"])
-    assert {(r.item, r.reason) for r in got.collect()} == brute(data)
+    got = implausible_readings(make(spark, data), "tree", "strip", "seq", ["H"], large=large).collect()
+    assert {(r.item, r.reason) for r in got} == brute(data) and len(got) == len(brute(data))
     assert {r for _, r in brute(data)} == {"bounds", "spike", "stuck"}
 
 
