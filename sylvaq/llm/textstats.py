@@ -23,6 +23,8 @@ COMMON = tuple(
 )
 SENTENCE_END = (".", "!", "?", "…", ".\"", "!\"", "?\"", ".'", ".)", "!)", "?)")
 
+#: Words of a piece, and the mean length beyond which it holds something else than words.
+PIECE, LONG_WORD = 8, 14
 #: Statistics of one text, in the order in which they come out.
 STATS = {
     "n_chars": T.LongType(),
@@ -64,8 +66,8 @@ def text_stats(texts: list[str | None], common: frozenset[str]) -> dict[str, np.
     Words are runs without white space. A line runs if it has at least four words
     of which a seventh or more are common; ``sentence_share`` is the share of the
     characters that stand in such lines. ``running_share`` asks the same of pieces
-    of about sixteen words, whatever the line breaks, in which half the words or
-    more start in lower case or all are in capitals. ``words_per_line`` is the mean
+    of eight words, whatever the line breaks: one word at least common, half of them in
+    lower case or all in capitals, and of ordinary length. ``words_per_line`` is the mean
     over characters, not over lines; ``top_word_share`` the share of the words that
     equal the most frequent one.
     """
@@ -108,12 +110,13 @@ def text_stats(texts: list[str | None], common: frozenset[str]) -> dict[str, np.
         folded = every if small == total else [w.lower() for w in every]
         marks = list(map(has, folded))
         known = sum(marks)
-        for s in range(0, total, 16):
-            e = s + 16
+        for s in range(0, total, PIECE):
+            e = s + PIECE
             part = len(marks[s:e])
-            k = sum(marks[s:e])
-            if 8 * k >= part and part > 3 and (2 * sum(lows[s:e]) >= part or all(map(str.isupper, every[s:e]))):
-                long += sum(map(len, every[s:e]))
+            if part > 3 and any(marks[s:e]) and (2 * sum(lows[s:e]) >= part or all(map(str.isupper, every[s:e]))):
+                ink_here = sum(map(len, every[s:e]))
+                if ink_here <= LONG_WORD * part:
+                    long += ink_here
         out["n_words"][i], out["n_lines"][i] = total, lines
         out["mean_word_length"][i] = letters / total
         out["lower_word_share"][i] = small / total
