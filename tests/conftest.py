@@ -19,6 +19,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from sylvaq.ship import ship
+
+    ship(s)
     yield s
 
 
