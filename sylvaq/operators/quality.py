@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sylvaq.operators.ordered import prefix_counts, quantile_of
 
-NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
-BLANK = r"^ *$"
+# the end of the text, not the place before a last line break
+NUMBER = r"^-?[0-9]+(\.[0-9]+)?\z"
+BLANK = r"^ *\z"
 
 
 @dataclass(frozen=True)

@@ -34,14 +34,14 @@ def test_quantiles_match_numpy(spark):
 
 def test_profile(spark):
     nan = float("nan")
-    data = [(1, "5", 0.5), (1, " ", nan), (1, "x", None), (1, "-5", 2.0), (1, "5", 0.25), (1, "7.5", 0.25), (None, "1e3", float("inf")), (2, "", None)]
+    data = [(1, "5", 0.5), (1, " ", nan), (1, "x", None), (1, "-5", 2.0), (1, "5", 0.25), (1, "7.5", 0.25), (None, "1e3", float("inf")), (2, "", None), (2, "5\n", nan), (2, "\n", nan)]
     p = {(r.load, r.column_name): r for r in profile_loads(frame(spark, [(*r, "x", 1.0) for r in data]), "ld", RULES).collect()}
     t = p[1, "t"]
     assert (t.rows, t.missing, t.malformed, t.numbers, t.out_of_bounds, t.distinct_values) == (6, 1, 1, 4, 1, 3)
     assert (t.min_value, t.max_value, t.median, t.top_value, t.top_count) == (-5.0, 7.5, 5.0, 5.0, 2)
     assert (p[1, "m"].missing, p[1, "m"].out_of_bounds, p[1, "m"].q1) == (2, 1, 0.25)
     assert (p[None, "t"].malformed, p[None, "m"].out_of_bounds) == (1, 1)
-    assert (p[2, "t"].missing, p[2, "t"].median, p[2, "t"].top_count) == (1, None, 0)
+    assert (p[2, "t"].missing, p[2, "t"].malformed, p[2, "t"].median, p[2, "t"].top_count) == (1, 2, None, 0)
     assert profile_loads(frame(spark, []), "ld", RULES).count() == 0
 
 
