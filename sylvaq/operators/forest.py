@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 from sylvaq.operators.regression import complete, row_numbers, scores
 from sylvaq.scratch import checkpointed
 
+#: Bins of a feature (the default of Spark ML forests); trees grown in one task.
+BINS, BLOCK = 32, 25
+
 
 def forest(features: list[str], target: str, trees: int, depth: int, seed: int = 42) -> Pipeline:
     """Assembler and forest; every split may use all features. Depth is at most 30."""
@@ -20,33 +26,136 @@ def forest(features: list[str], target: str, trees: int, depth: int, seed: int =
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__features"), rf])
 
 
-def forest_cv(df: DataFrame, group: str, features: list[str], target: str, key: str, trees: int = 200, depth: int = 30, folds: int = 5, parallel: int = 4) -> DataFrame:
-    """(group, n, rmse, r2): out-of-fold forest predictions pooled per group.
+def grown(n: np.ndarray, s: np.ndarray, bins: np.ndarray, depth: int, width: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions (trees, cells) and variance reductions (trees, features) of trees grown level by level, all at once.
 
-    Each fit is a distributed job over one group's rows; ``parallel`` of them run
-    side by side. Rows with missing values take no part. The list of groups is
-    the species list.
+    ``n``, ``s``: weight and weighted sum of the target of each tree in each cell;
+    ``bins``: (cells, features). Cells without weight follow the splits of the others.
+    A tree without any weight predicts NaN.
     """
-    d = complete(df, [*features, target]).where(F.col(group).isNotNull()).select(group, key, *features, target)
-    d = d.join(row_numbers(d, [group], key), [group, key]).withColumn("fold", ((F.col("rn") - 1) % folds).cast("int"))
-    d = checkpointed(d)
-    groups = [r[0] for r in d.where(F.col("size") > folds).select(group).distinct().orderBy(group).collect()]
+    trees, cells = n.shape
+    k = bins.shape[1]
+    pred, gains = np.full(trees * cells, np.nan), np.zeros((trees, k))
+    node, at = np.repeat(np.arange(trees), cells), np.arange(trees * cells)
+    tree = np.arange(trees)
+    n, s, low = n.ravel().astype(float), s.ravel().astype(float), 1e-12 * max(float(np.abs(s).max(initial=0.0)), 1e-300)
+    for level in range(depth + 1):
+        m = len(tree)
+        total, sums = np.bincount(node, n[at], m), np.bincount(node, s[at], m)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value, base = sums / total, np.where(total > 0, sums**2 / total, 0.0)
+        best, which, cut = np.full(m, -np.inf), np.zeros(m, int), np.zeros(m, int)
+        for j in range(k if level < depth else 0):
+            place = node * width + bins[at % cells, j]
+            nl = np.bincount(place, n[at], m * width).reshape(m, width).cumsum(1)[:, :-1]
+            sl = np.bincount(place, s[at], m * width).reshape(m, width).cumsum(1)[:, :-1]
+            nr, sr = total[:, None] - nl, sums[:, None] - sl
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.where((nl > 0) & (nr > 0), sl**2 / nl + sr**2 / nr, -np.inf)
+            c = score.argmax(1)
+            top = score[np.arange(m), c]
+            better = top > best
+            best, which, cut = np.where(better, top, best), np.where(better, j, which), np.where(better, c, cut)
+        split = best - base > np.maximum(1e-10 * base, low)
+        done = ~split[node]
+        pred[at[done]] = value[node[done]]
+        if not split.any():
+            break
+        np.add.at(gains, (tree[split], which[split]), (best - base)[split])
+        at, node = at[~done], node[~done]
+        right = bins[at % cells, which[node]] > cut[node]
+        node = 2 * (np.cumsum(split) - 1)[node] + right
+        tree = np.repeat(tree[split], 2)
+    return pred.reshape(trees, cells), gains
+
+
+def _binned(d: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """``d`` with ``bins``: each feature's place among up to 31 cuts, as many as a Spark ML forest makes.
+
+    Cuts lie halfway between a quantile of the group and the next larger value.
+    """
+    x = [F.col(f).cast("double") for f in features]
+    names = [f"__c{i}" for i in range(len(x))]
+    cuts = d.groupBy(group).agg(*[F.percentile_approx(v, [i / BINS for i in range(1, BINS)], 10_000).alias(c) for v, c in zip(x, names)])
+    cuts = d.join(F.broadcast(cuts), group).groupBy(group).agg(*[F.array(*[(F.max(F.get(c, i)) + F.min(F.when(v > F.get(c, i), v))) / 2 for i in range(BINS - 1)]).alias(c) for v, c in zip(x, names)])
+    cuts = cuts.select(group, *[F.array_distinct(c).alias(c) for c in names])
+    d = d.join(F.broadcast(cuts), group)
+    place = lambda c, v: F.size(F.filter(c, lambda t: t < v))
+    return d.withColumn("bins", F.array(*[place(c, v) for c, v in zip(names, x)])).drop(*names)
 
-    def one(job: tuple[str, int]) -> DataFrame:
-        name, fold = job
-        own = d.where(F.col(group) == name)
-        model = forest(features, target, trees, depth).fit(own.where(F.col("fold") != fold))
-        return model.transform(own.where(F.col("fold") == fold)).select(group, F.col(target).alias("y"), "pred")
 
-    with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(one, [(g, f) for g in groups for f in range(folds)]))
-    rmse, r2 = scores("pred", "y")
-    if not parts:
-        return d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.lit(0.0).alias("rmse"), F.lit(0.0).alias("r2")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(group).agg(F.count(F.lit(1)).alias("n"), rmse.alias("rmse"), r2.alias("r2"))
+def _blocks(d: DataFrame, group: str, target: str, trees: int, seed: int = 42) -> DataFrame:
+    """(group, block, fold, bins, n, s): bootstrap weights and weighted target sums of a block of trees per fold and cell.
+
+    A row has a Poisson weight in every tree, as in a Spark ML forest. Rows are
+    weighed in parts of 100,000 of a group, so no task holds a whole large group.
+    """
+    kind = d.schema[group].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        key = np.column_stack([pdf["fold"].to_numpy(), np.stack(pdf["bins"])])
+        cells, cell = np.unique(key, axis=0, return_inverse=True)
+        y, first = pdf["y"].to_numpy(float), int(pdf["rn"].iloc[0])
+        out = []
+        for block, begin in enumerate(range(0, trees, BLOCK)):
+            rng = np.random.default_rng([seed, zlib.crc32(str(pdf[group].iloc[0]).encode()), first, block])
+            w = rng.poisson(1.0, (min(BLOCK, trees - begin), len(y))).astype(float)
+            n = np.stack([np.bincount(cell.ravel(), t, len(cells)) for t in w], 1)
+            s = np.stack([np.bincount(cell.ravel(), t * y, len(cells)) for t in w], 1)
+            out.append(pd.DataFrame({group: pdf[group].iloc[0], "block": block, "fold": cells[:, 0], "bins": list(cells[:, 1:]), "n": list(n), "s": list(s)}))
+        return pd.concat(out)
+
+    parts = d.withColumn("part", F.floor((F.col("rn") - 1) / 100_000)).select(group, "part", "rn", "fold", "bins", F.col(target).cast("double").alias("y"))
+    return parts.groupBy(group, "part").applyInPandas(run, f"{group} {kind}, block int, fold int, bins array<int>, n array<double>, s array<double>")
+
+
+def _table(pdf: pd.DataFrame) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Cells of a block, and per fold the weights and sums (trees, cells)."""
+    cells, cell = np.unique(np.stack(pdf["bins"]), axis=0, return_inverse=True)
+    cell, folds = cell.ravel(), {}
+    for f in np.unique(pdf["fold"]):
+        own = (pdf["fold"] == f).to_numpy()
+        both = []
+        for c in ("n", "s"):
+            v = np.stack(pdf.loc[own, c])
+            t = np.zeros((len(cells), v.shape[1]))
+            np.add.at(t, cell[own], v)
+            both.append(t.T)
+        folds[int(f)] = tuple(both)
+    return cells, folds
+
+
+def forest_cv(df: DataFrame, group: str, features: list[str], target: str, key: str, trees: int = 200, depth: int = 30, folds: int = 5) -> DataFrame:
+    """(group, n, rmse, r2): out-of-fold forest predictions pooled per group, folds as in cross_validate.
+
+    The forests are those of ``forest``: Poisson bootstrap, all features at every
+    split, splits at 31 quantiles a feature. As trees see rows only through their
+    cells, sums per fold and cell are gathered once, and the forest that predicts a
+    fold is grown from the total less that fold, a block of trees per task. Rows with
+    missing values take no part, nor do groups of no more than ``folds`` rows.
+    """
+    d = complete(df, [*features, target]).where(F.col(group).isNotNull()).select(group, key, *features, target)
+    d = d.join(row_numbers(d, [group], key), [group, key]).where(F.col("size") > folds).withColumn("fold", ((F.col("rn") - 1) % folds).cast("int"))
+    d = checkpointed(_binned(d, group, features))
+    kind = df.schema[group].dataType.simpleString()
+    mean = F.broadcast(d.groupBy(group).agg(F.avg(target).alias("__mean")))
+    centred = d.join(mean, group).withColumn("__y", F.col(target) - F.col("__mean"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, by = _table(pdf)
+        n, s = sum(v[0] for v in by.values()), sum(v[1] for v in by.values())
+        out = []
+        for f, (fn, fs) in by.items():
+            p, _ = grown(n - fn, s - fs, cells, depth)
+            out.append(pd.DataFrame({group: pdf[group].iloc[0], "fold": f, "bins": list(cells), "total": np.nansum(p, 0), "grown": (~np.isnan(p)).sum(0)}))
+        return pd.concat(out)
+
+    p = _blocks(centred, group, "__y", trees).groupBy(group, "block").applyInPandas(run, f"{group} {kind}, fold int, bins array<int>, total double, grown bigint")
+    p = p.groupBy(group, "fold", "bins").agg(F.try_divide(F.sum("total"), F.sum("grown")).alias("__pred"))
+    p = centred.join(p, [group, "fold", "bins"]).select(group, "__y", "__pred")
+    rmse, r2 = scores("__pred", "__y")
+    return p.groupBy(group).agg(F.count(F.lit(1)).alias("n"), rmse.alias("rmse"), r2.alias("r2"))
 
 
 def forest_importances(df: DataFrame, group: str, features: list[str], target: str, trees: int = 200, depth: int = 30, parallel: int = 4) -> DataFrame:

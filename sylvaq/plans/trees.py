@@ -38,8 +38,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _models(spark: SparkSession, sf_dir: str, preference: str) -> DataFrame:
-    sets = SETS if preference == "best" else {preference: SETS[preference]}
-    return model_choice(reg.linear_models(_samples(spark, sf_dir), "species", sets, TARGET), preference)
+    return model_choice(reg.linear_models(_samples(spark, sf_dir), "species", {preference: SETS[preference]}, TARGET), preference)
 
 
 def _imputed(spark: SparkSession, sf_dir: str, preference: str = "Height") -> DataFrame:
@@ -56,7 +55,8 @@ def impute_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impute_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_diameters(_imputed(spark, sf_dir, "best"), "rec_id").select("rec_id", "year", *_r("td"), "tag")
+    """Imputation with the best model of each species, of either kind."""
+    return long_diameters(_dispatched(spark, sf_dir), "rec_id").select("rec_id", "year", *_r("td"), "tag")
 
 
 def impute_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,14 +131,32 @@ def linear_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of both kinds of model on every feature set, up to six rows per species."""
     s = checkpointed(_samples(spark, sf_dir))
     out = None
-    for seq, (label, features) in enumerate(SETS.items()):
-        r = reg.cross_validate(s, "species", features, TARGET, "sample_id").select("species", F.lit(label).alias("features"), F.lit("Linear").alias("model"), "rmse", "r2", F.lit(seq).alias("seq"))
-        out = r if out is None else out.unionByName(r)
+    for label, features in SETS.items():
+        for model, cv in (("Linear", reg.cross_validate), ("RandomForest", rf.forest_cv)):
+            seq = 2 * list(SETS).index(label) + (model != "Linear")
+            r = cv(s, "species", features, TARGET, "sample_id").select("species", F.lit(label).alias("features"), F.lit(model).alias("model"), "rmse", "r2", F.lit(seq).alias("seq"))
+            out = r if out is None else out.unionByName(r)
     return checkpointed(out)
 
 
+def _dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees imputed with the best model of each species; forests are fitted on all its rows, stored and loaded again."""
+    s, trees = checkpointed(_samples(spark, sf_dir)), table(spark, sf_dir, "tree")
+    best = checkpointed(reg.best_rows(_cv_results(spark, sf_dir)))
+    linear = reg.linear_models(s, "species", SETS, TARGET).join(best.where("model = 'Linear'"), ["species", "features"], "left_semi")
+    folder = f"{scratch_dir(spark)}/models-{uuid4().hex}"
+    predicted = None
+    for r in best.where("model = 'RandomForest'").orderBy("species").collect():
+        own = reg.complete(s.where(F.col("species") == r.species), [*SETS[r.features], TARGET])
+        model = rf.load_model(rf.save_model(rf.forest(SETS[r.features], TARGET, 200, 30).fit(own), folder, f"{r.species}_{r.features}_rf"))
+        p = checkpointed(forest_predictions(trees, "rec_id", {(r.species, r.features): model}))  # one large model in memory at a time
+        predicted = p if predicted is None else predicted.unionByName(p)
+    return impute_diameters(trees, linear, "rec_id", predicted)
+
+
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.best_rows(_cv_results(spark, sf_dir)).select("species", "features", "model", *_r("rmse", "r2"))
 
