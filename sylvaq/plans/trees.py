@@ -185,16 +185,8 @@ def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impute_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imputation with forests for the two most sampled species, stored and loaded again, and linear models for the rest."""
-    s, trees = checkpointed(_samples(spark, sf_dir)), table(spark, sf_dir, "tree")
-    folder = f"{scratch_dir(spark)}/models-{uuid4().hex}"
-    forests = {}
-    for r in profile.species_with(s, LEAST_SAMPLES).limit(2).collect():
-        own = reg.complete(s.where(F.col("species") == r.species), [*SETS["Height"], TARGET])
-        path = rf.save_model(rf.forest(SETS["Height"], TARGET, TREES, DEPTH).fit(own), folder, f"{r.species}_Height_rf")
-        forests[r.species, "Height"] = rf.load_model(path)
-    done = impute_diameters(trees, _models(spark, sf_dir, "best"), "rec_id", forest_predictions(trees, "rec_id", forests))
-    return long_diameters(done, "rec_id")
+    """Imputation with the stored forest of every species whose best model is a forest, and the best linear model for the rest."""
+    return long_diameters(_dispatched(spark, sf_dir), "rec_id")
 
 
 def rf_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

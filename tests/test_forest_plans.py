@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sylvaq.functions.species import species_name
 from sylvaq.operators import regression
 from sylvaq.operators.forest import forest, forest_cv
 from sylvaq.plans import trees
@@ -48,3 +49,9 @@ def test_forests_compete(spark, survey):
     assert all(summary[k].best_model == r.model and summary[k].best_features == r.features for k, r in best.items())
     tags = {r[0] for r in trees.impute_best(spark, survey).select("tag").distinct().collect()}
     assert any(t.startswith("RandomForest_") for t in tags) and any(t.startswith("Linear_") for t in tags)
+
+
+def test_every_winning_forest_is_used(spark, survey):
+    done = trees.impute_forest(spark, survey).join(trees.table(spark, survey, "tree").select("rec_id", species_name(F.col("Species")).alias("name")), "rec_id")
+    tags = {(r.name, r.tag.split("_")[0]) for r in done.where(F.col("name").isin(*WINNERS, "Tilia") & F.col("tag").contains("_")).select("name", "tag").distinct().collect()}
+    assert tags == {(k, "RandomForest") for k in WINNERS} | {("Tilia", "Linear")}
