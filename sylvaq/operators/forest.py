@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -158,18 +157,28 @@ def forest_cv(df: DataFrame, group: str, features: list[str], target: str, key:
     return p.groupBy(group).agg(F.count(F.lit(1)).alias("n"), rmse.alias("rmse"), r2.alias("r2"))
 
 
-def forest_importances(df: DataFrame, group: str, features: list[str], target: str, trees: int = 200, depth: int = 30, parallel: int = 4) -> DataFrame:
-    """(group, importances): a map of feature to importance of the forest over all rows of each group."""
-    d = checkpointed(complete(df, [*features, target]).where(F.col(group).isNotNull()).select(group, *features, target))
-    groups = [r[0] for r in d.select(group).distinct().orderBy(group).collect()]
+def forest_importances(df: DataFrame, group: str, features: list[str], target: str, trees: int = 200, depth: int = 30) -> DataFrame:
+    """(group, importances): a map of feature to importance of the forest over all rows of each group.
 
-    def one(name: str) -> tuple[str, dict[str, float]]:
-        model = forest(features, target, trees, depth).fit(d.where(F.col(group) == name))
-        return name, {f: float(v) for f, v in zip(features, model.stages[-1].featureImportances.toArray())}
+    The share of a feature in a tree's reduction of variance, averaged over the trees, as Spark ML has it.
+    """
+    d = complete(df, [*features, target]).where(F.col(group).isNotNull()).select(group, *features, target)
+    d = checkpointed(_binned(d, group, features).withColumn("fold", F.lit(0)).withColumn("rn", F.monotonically_increasing_id() + 1))
+    kind = df.schema[group].dataType.simpleString()
+    mean = F.broadcast(d.groupBy(group).agg(F.avg(target).alias("__mean")))
+    centred = d.join(mean, group).withColumn("__y", F.col(target) - F.col("__mean"))
 
-    with ThreadPoolExecutor(parallel) as pool:
-        rows = list(pool.map(one, groups))
-    return df.sparkSession.createDataFrame(rows, f"{group} string, importances map<string,double>")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, by = _table(pdf)
+        gains = grown(*by[0], cells, depth)[1]
+        shares = gains / np.where(gains.sum(1, keepdims=True) > 0, gains.sum(1, keepdims=True), 1.0)
+        return pd.DataFrame({group: pdf[group].iloc[0], "feature": features, "share": shares.sum(0)})
+
+    p = _blocks(centred, group, "__y", trees).groupBy(group, "block").applyInPandas(run, f"{group} {kind}, feature string, share double")
+    p = p.groupBy(group, "feature").agg(F.sum("share").alias("share"))
+    every = p.groupBy(group).agg(F.sum("share").alias("every"))
+    p = p.join(every, group).select(group, "feature", F.coalesce(F.try_divide("share", "every"), F.lit(0.0)).alias("share"))
+    return p.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("feature", "share"))).alias("importances"))
 
 
 def save_model(model: PipelineModel, folder: str, name: str) -> str:

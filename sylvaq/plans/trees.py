@@ -25,8 +25,6 @@ from sylvaq.sources.tables import nan_to_null, read_csv, table, write_csv
 LEAST_SAMPLES = 25
 TARGET = "ell_eq_diameter_m"
 SETS = {"Height": ["tree_height_m"], "Crown": ["crown_diameter_m"], "Height+Crown": ["tree_height_m", "crown_diameter_m"]}
-#: Forest size of the queries; the operators' defaults are 200 and 100 trees of depth 30.
-TREES, DEPTH = 5, 6
 
 
 def _r(*columns: str) -> list[Column]:
@@ -174,14 +172,7 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of linear models and forests, six rows per species."""
-    s = checkpointed(_samples(spark, sf_dir))
-    out = None
-    for label, features in SETS.items():
-        linear = reg.cross_validate(s, "species", features, TARGET, "sample_id", folds=2).withColumn("model", F.lit("Linear"))
-        trees = rf.forest_cv(s, "species", features, TARGET, "sample_id", trees=TREES, depth=DEPTH, folds=2).withColumn("model", F.lit("RandomForest"))
-        both = linear.unionByName(trees).select("species", F.lit(label).alias("features"), "model", F.col("rmse").alias("RMSE"), F.col("r2").alias("R2"))
-        out = both if out is None else out.unionByName(both)
-    return out
+    return _cv_results(spark, sf_dir).select("species", "features", "model", F.col("rmse").alias("RMSE"), F.col("r2").alias("R2"))
 
 
 def impute_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,12 +181,21 @@ def impute_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rf_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rf.forest_cv(_samples(spark, sf_dir), "species", SETS["Height+Crown"], TARGET, "sample_id", trees=TREES, depth=DEPTH, folds=2)
+    s = checkpointed(_samples(spark, sf_dir))
+    out = None
+    for label, features in SETS.items():
+        r = rf.forest_cv(s, "species", features, TARGET, "sample_id").select("species", F.lit(label).alias("features"), "n", "rmse", "r2")
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = rf.forest_importances(_samples(spark, sf_dir), "species", SETS["Height+Crown"], TARGET, trees=TREES, depth=DEPTH)
-    return i.select("species", F.explode("importances").alias("feature", "importance"))
+    s = checkpointed(_samples(spark, sf_dir))
+    out = None
+    for label, features in SETS.items():
+        i = rf.forest_importances(s, "species", features, TARGET).select("species", F.lit(label).alias("features"), F.explode("importances").alias("feature", "importance"))
+        out = i if out is None else out.unionByName(i)
+    return out
 
 
 def samples_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ def split_height_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regression_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = checkpointed(_ordered(_grouped(spark, sf_dir)))
-    return gm.performance(g, "mix").unionByName(gm.forest_performance(g, "mix", trees=TREES, depth=DEPTH))
+    return gm.performance(g, "mix").unionByName(gm.forest_performance(g, "mix"))
 
 
 def coefficient_table(spark: SparkSession, sf_dir: str) -> DataFrame:

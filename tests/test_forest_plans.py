@@ -55,3 +55,14 @@ def test_every_winning_forest_is_used(spark, survey):
     done = trees.impute_forest(spark, survey).join(trees.table(spark, survey, "tree").select("rec_id", species_name(F.col("Species")).alias("name")), "rec_id")
     tags = {(r.name, r.tag.split("_")[0]) for r in done.where(F.col("name").isin(*WINNERS, "Tilia") & F.col("tag").contains("_")).select("name", "tag").distinct().collect()}
     assert tags == {(k, "RandomForest") for k in WINNERS} | {("Tilia", "Linear")}
+
+
+def test_scores_of_every_set_and_fold(spark, survey):
+    linear = {(r.species, "Height"): r.r2 for r in trees.queries()["cv_oof_height"](spark, survey).collect()}
+    rows = trees.model_results(spark, survey).collect()
+    assert len(rows) == 6 * 4
+    assert all(r.R2 == pytest.approx(linear[r.species, r.features], abs=1e-6) for r in rows if r.model == "Linear" and r.features == "Height")
+    forests = {(r.species, r.features): r.r2 for r in trees.rf_cv_metrics(spark, survey).collect()}
+    assert forests == pytest.approx({(r.species, r.features): r.R2 for r in rows if r.model == "RandomForest"})
+    shares = trees.rf_importance(spark, survey).collect()
+    assert len(shares) == 4 * 4 and sum(r.importance for r in shares) == pytest.approx(3 * 4)
