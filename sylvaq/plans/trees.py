@@ -175,6 +175,16 @@ def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cv_results(spark, sf_dir).select("species", "features", "model", F.col("rmse").alias("RMSE"), F.col("r2").alias("R2"))
 
 
+def linear_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear rows of model_results alone."""
+    s = checkpointed(_samples(spark, sf_dir))
+    out = None
+    for label, features in SETS.items():
+        r = reg.cross_validate(s, "species", features, TARGET, "sample_id").select("species", F.lit(label).alias("features"), F.lit("Linear").alias("model"), F.round("rmse", 6).alias("RMSE"), F.round("r2", 6).alias("R2"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def impute_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imputation with the stored forest of every species whose best model is a forest, and the best linear model for the rest."""
     return long_diameters(_dispatched(spark, sf_dir), "rec_id")
@@ -361,7 +371,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             carbon_stock_wide, carbon_growth_annual, carbon_growth_period, carbon_by_species, impute_monotonic, impute_wide, impute_best, impute_tag_counts, species_min_count, species_describe,
-            feature_correlation, ols_tvalues_single, ols_pvalues, linear_formulas, best_model, model_summary, model_results, impute_forest, rf_cv_metrics, rf_importance, samples_csv, panel_long, panel_clean, soil_code_flags,
+            feature_correlation, ols_tvalues_single, ols_pvalues, linear_formulas, best_model, model_summary, model_results, linear_results, impute_forest, rf_cv_metrics, rf_importance, samples_csv, panel_long, panel_clean, soil_code_flags,
             panel_medians, panel_median_fill, feature_gate, standardised_panel, split_height_metrics, regression_performance, coefficient_table, tile_matrix, tile_wide, significance_labels,
             neighbor_pairs, density25, mono_rate, dbscan_labels, cluster_regime, regime_counts, vif_workflow,
         )

@@ -43,12 +43,19 @@ _BOTH = """k AS (SELECT * FROM s WHERE tree_height_m IS NOT NULL AND crown_diame
 ), b AS (SELECT species, mx, mz, my, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM q)"""
 
 
-def _impute_both() -> str:
-    """The same for two-feature models, which have the best fit within the sample for every species."""
-    text = _impute("tree_height_m", "Height+Crown")
+def _impute_best(best: str) -> str:
+    """The same for the linear model of each species that ``best`` (species, features) names."""
+    text = _impute("tree_height_m", "Best")
     start, end = text.index("m AS ("), text.index("), long AS")
-    text = text[:start] + f"{_BOTH}, m AS (SELECT species, my - b1 * mx - b2 * mz AS c0, b1 AS c1, b2 AS c2 FROM b" + text[end:]
-    return text.replace("c0 + c1 * CASE WHEN dp > 0 THEN dp END", "c0 + c1 * h + c2 * CASE WHEN dp > 0 THEN dp END")
+    models = f"""{_BOTH}, every AS (
+  SELECT species, 'Height' AS features, regr_intercept(ell_eq_diameter_m, tree_height_m) AS c0, regr_slope(ell_eq_diameter_m, tree_height_m) AS c1, 0.0 AS c2 FROM s GROUP BY species
+  UNION ALL SELECT species, 'Crown', regr_intercept(ell_eq_diameter_m, crown_diameter_m), 0.0, regr_slope(ell_eq_diameter_m, crown_diameter_m) FROM s GROUP BY species
+  UNION ALL SELECT species, 'Height+Crown', my - b1 * mx - b2 * mz, b1, b2 FROM b
+), m AS (SELECT every.* FROM every JOIN ({best}) USING (species, features)"""
+    text = text[:start] + models + text[end:]
+    text = text.replace("SELECT rec_id, year, h, name, CASE", "SELECT rec_id, year, h, name, features, CASE")
+    text = text.replace("c0 + c1 * CASE WHEN dp > 0 THEN dp END", "c0 + c1 * h + CASE WHEN features = 'Height' THEN 0.0 ELSE c2 * CASE WHEN dp > 0 THEN dp END END")
+    return text.replace("'Linear_Best_MonotonicFix'", "'Linear_' || features || '_MonotonicFix'").replace("'Linear_Best'", "'Linear_' || features")
 
 
 _CS = f"""{_impute('tree_height_m', 'Height')}, bio AS (
@@ -185,6 +192,9 @@ SELECT species, round(b / sqrt((1 - r2) * syy / (n - 2) / sxx), 4) AS t FROM k""
         "best_model": f"""WITH a AS (WITH {_cv([h])} SELECT *, 'Height' AS features, 0 AS seq FROM cv), b AS (WITH {_cv([c])} SELECT *, 'Crown', 1 FROM cv), z AS (WITH {_cv([h, c])} SELECT *, 'Height+Crown', 2 FROM cv),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM z)
 SELECT species, features, 'Linear' AS model, round(rmse, 6) AS rmse, round(r2, 6) AS r2 FROM u QUALIFY row_number() OVER (PARTITION BY species ORDER BY r2 DESC, seq) = 1""",
+        "linear_results": f"""WITH a AS (WITH {_cv([h])} SELECT *, 'Height' AS features FROM cv), b AS (WITH {_cv([c])} SELECT *, 'Crown' FROM cv), z AS (WITH {_cv([h, c])} SELECT *, 'Height+Crown' FROM cv),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM z)
+SELECT species, features, 'Linear' AS model, round(rmse, 6) AS RMSE, round(r2, 6) AS R2 FROM u""",
         "samples_csv": "SELECT * FROM all_species_summary",
         "panel_long": f"""WITH {_PANEL} SELECT row_id, Period, Species_Name, type, {', '.join(f'round({f}, 6) AS {f}' for f in ('Log_Annual_Carbon_Growth', 'Log_Initial_H', *_FILLED))}, soil_has_infill, soil_has_moraine, soil_has_bedrock FROM panel""",
         "panel_clean": f"WITH {_CLEAN} SELECT row_id, {', '.join(f'round({f}, 6) AS {f}' for f in ('avg_noise_day', 'lightemiss', 'svf15', 'ra15_17', 'LST_1516', 'H15', 'Density25', 'Mono_Rate'))} FROM cc",
@@ -219,5 +229,6 @@ SELECT 'Initial_H' AS Feature, round((1 - c * c) / det, 6) AS VIF FROM d UNION A
 UNION ALL SELECT species, 'Height+Crown', 'Linear', printf('%s trunk_diameter = %.3f + (%.3f * {h}) + (%.3f * {c})', species, my - b1 * mx - b2 * mz, b1, b2) FROM b"""
     out["model_summary"] = f"""WITH best AS ({results}), f AS (WITH {_S}, {_BOTH} {text})
 SELECT species, best.model AS best_model, features AS best_features, round(r2, 6) AS best_R2, formula AS formula_if_linear FROM best JOIN f USING (species, features)"""
-    out["impute_best"] = f"WITH {_impute_both()} SELECT rec_id, year, round(td, 6) AS td, tag FROM td"
+    # forests are beyond SQL: these three differ from the queries where a forest scores best
+    out["impute_best"] = f"WITH {_impute_best(f'SELECT species, features FROM ({results})')} SELECT rec_id, year, round(td, 6) AS td, tag FROM td"
     return out
