@@ -144,3 +144,27 @@ def near_counts(a: Tree, b: Tree, radius: float, same: bool) -> tuple[np.ndarray
                 cb += np.bincount(j[keep], minlength=len(cb))
     ca, cb = ca + np.cumsum(da[:-1]), cb + np.cumsum(db[:-1])
     return (ca + cb, cb) if same else (ca, cb)
+
+
+def near_links(a: Tree, b: Tree, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (positions; those of ``b`` follow the ones of ``a`` unless ``same``) with the components of
+    the graph of near pairs. A certain node pair costs its points once, not their product."""
+    r2, shift = radius * radius, 0 if same else len(a.x)
+    n = shift + len(b.x)
+    chain = np.zeros(n + 1, np.int64)  # covers position p where p and p + 1 belong together
+    left, right = [], []
+    for a0, a1, b0, b1, sure in near_ranges(a, b, radius, same):
+        if sure:
+            for s, e in ((a0, a1), (b0 + shift, b1 + shift)):
+                np.add.at(chain, s, 1)
+                np.add.at(chain, e - 1, -1)
+            left.append(a0)
+            right.append(b0 + shift)
+        else:
+            for _, i, j in _expand(a0, a1, b0, b1):
+                dx, dy = a.x[i] - b.x[j], a.y[i] - b.y[j]
+                keep = dx * dx + dy * dy <= r2
+                left.append(i[keep])
+                right.append(j[keep] + shift)
+    row = np.flatnonzero(np.cumsum(chain[:-1]) > 0)
+    return np.concatenate([row, *left]), np.concatenate([row + 1, *right])

@@ -8,30 +8,48 @@ from pyspark.sql import functions as F
 from sylvaq.scratch import checkpointed
 
 
-def min_labels(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(v, r): the map ``first`` followed by ``then``; what ``then`` does not list stays."""
+    after = then.select(F.col("v").alias("r"), F.col("r").alias("__to"))
+    return first.join(after, "r", "left").select("v", F.coalesce("__to", "r").alias("r"))
+
+
+def min_labels(vertices: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(id, root): the smallest id of each vertex's component.
 
-    ``vertices`` has unique ``id`` (bigint), ``edges`` has ``a``, ``b`` (each edge once,
-    either way round). A round sends every vertex the least label among its
-    neighbours' and hooks the vertex and its present root to it, then halves the
-    paths by one jump to the root's root; labels only fall, and the loop ends
-    with the first round that changes none, so a chain of any length converges in
-    about its logarithm of rounds. Every round is a checkpoint; nothing but the
-    number of changed labels reaches the driver. Isolated vertices are their own
-    root; no vertices, no rows.
+    ``vertices`` has unique ``id`` (bigint), ``edges`` has ``a``, ``b`` (either way
+    round; loops and repeats do no harm). A round hooks every vertex with a smaller
+    neighbour to the least of them, follows the hooks to their ends by pointer
+    jumping, and redraws the edges between those ends. Every vertex that was not the
+    least among its neighbours leaves the graph, so the rounds run on ever smaller
+    edge lists and their number is about the logarithm of the longest component;
+    minimum labels reach every vertex in the end by composing the rounds' maps
+    backwards. Every round is a checkpoint and nothing but whether edges are left
+    reaches the driver. Isolated vertices are their own root; no vertices, no rows.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct())
-    labels = checkpointed(vertices.select("id", F.col("id").alias("root")))
-    for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
-        low = labels.join(seen, "id", "left").select("id", "root", F.least("root", "r").alias("r"))
-        # hook the vertex and its root to the least label seen
-        hooks = low.select("id", "r").unionByName(low.where(F.col("r") < F.col("root")).select(F.col("root").alias("id"), "r"))
-        hooked = checkpointed(hooks.groupBy("id").agg(F.min("r").alias("root")))
-        jumped = hooked.join(hooked.select(F.col("id").alias("root"), F.col("root").alias("up")), "root").select("id", F.col("up").alias("root"))
-        after = checkpointed(jumped.join(labels.select("id", F.col("root").alias("was")), "id"))
-        changed = after.where(F.col("root") != F.col("was")).limit(1).count()
-        labels = after.select("id", "root")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+
+    def drawn(e: DataFrame) -> DataFrame:
+        return checkpointed(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
+
+    left, maps = drawn(edges), []
+    while not left.isEmpty():
+        if len(maps) == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+        hook = checkpointed(left.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("r")))
+        while True:  # hooks lead to smaller ids only, so the doubling ends
+            ends = hook.select(F.col("v").alias("r"), F.col("r").alias("__up"))
+            jumped = checkpointed(hook.join(ends, "r", "left").select("v", F.coalesce("__up", "r").alias("r"), F.col("__up").isNotNull().alias("moved")))
+            hook = jumped.select("v", "r")
+            if jumped.where("moved").isEmpty():
+                break
+        maps.append(hook)
+        ends = hook.select(F.col("v").alias("b"), F.col("r").alias("__b"))
+        # the larger end of every edge is hooked, the smaller one perhaps
+        moved = left.join(hook.withColumnRenamed("v", "a"), "a").join(ends, "b", "left")
+        left = drawn(moved.select(F.col("r").alias("a"), F.coalesce("__b", "b").alias("b")))
+    if not maps:
+        return vertices.select("id", F.col("id").alias("root"))
+    whole = maps[-1]
+    for m in reversed(maps[:-1]):
+        whole = _composed(m, whole).unionByName(whole)
+    return vertices.select("id").join(whole.select(F.col("v").alias("id"), "r"), "id", "left").select("id", F.coalesce("r", "id").alias("root"))

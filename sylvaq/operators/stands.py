@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaq.functions.species import is_general
-from sylvaq.operators.density import density_clusters
+from sylvaq.operators.dbscan import dbscan
 from sylvaq.operators.near import counts_within
 from sylvaq.operators.regression import row_numbers
 from sylvaq.scratch import checkpointed
@@ -36,7 +36,7 @@ def mono_rate(sites: DataFrame, radius: float) -> DataFrame:
 
 def cluster_labels(sites: DataFrame, radius: float, least: int) -> DataFrame:
     """(id, label): density clusters numbered from 0 in the order of their smallest dense id; -1 in none."""
-    members = checkpointed(density_clusters(sites.select("id", "x", "y"), radius, least).select("id", "root"))
+    members = checkpointed(dbscan(sites, radius, least).select("id", "root"))
     roots = members.select("root", F.lit(1).alias("g")).distinct()
     label = row_numbers(roots, ["g"], "root").select("root", (F.col("rn") - 1).alias("label"))
     numbered = members.join(label, "root").select("id", "label")
