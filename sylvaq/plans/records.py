@@ -1,4 +1,4 @@
-"""Queries of the record operators (problems 2 to 6) over the test tables, with SQL where it can say the same."""
+"""Queries of the record operators (problems 2, 3, 5 and 6) over the test tables, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaq.operators.density import density_clusters, describe_clusters
 from sylvaq.operators.fields import split_values
 from sylvaq.operators.near import counts_within, located_points, pairs_within
 from sylvaq.operators.quality import Rule, findings, load_distances, profile_loads
@@ -30,35 +29,17 @@ def p2_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("soil_value").agg(F.count(F.lit(1)).alias("n"), F.max("pos").cast("bigint").alias("last_pos"))
 
 
-def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+def located_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, x, y) of the trees with a location."""
     return located_points(table(spark, sf_dir, "cluster_analysis_data"), "tree_id", "X", "Y", X_RANGE, Y_RANGE)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_within(_trees(spark, sf_dir), RADIUS).select(F.col("id_a").alias("tree_id_a"), F.col("id_b").alias("tree_id_b"))
+    return pairs_within(located_trees(spark, sf_dir), RADIUS).select(F.col("id_a").alias("tree_id_a"), F.col("id_b").alias("tree_id_b"))
 
 
 def p3_density25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts_within(_trees(spark, sf_dir), RADIUS).select(F.col("id").alias("tree_id"), F.col("n").alias("density25"))
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density_clusters(_trees(spark, sf_dir), RADIUS, DENSE).select("cluster_key", F.col("id").alias("tree_id"))
-
-
-def p4_stands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stands with size, typical members, dominant species and the stored label most of the members carry."""
-    raw = table(spark, sf_dir, "cluster_analysis_data").where(F.col("tree_id").isNotNull())
-    # of repeated rows the last updated one counts; equal times: the larger label
-    last = raw.groupBy("tree_id").agg(F.max(F.struct("updated_at", "Species", "Cluster_ID")).alias("r"))
-    last = last.select(F.col("tree_id").alias("id"), F.col("r.Species").alias("kind"), F.col("r.Cluster_ID").alias("stored"))
-    members = density_clusters(_trees(spark, sf_dir), RADIUS, DENSE)
-    stands = describe_clusters(members, last)
-    stored = members.join(last, "id").where(F.col("stored").isNotNull()).groupBy("cluster_key", "stored").agg(F.count(F.lit(1)).alias("n"))
-    stored = stored.groupBy("cluster_key").agg(F.min_by("stored", F.struct((-F.col("n")).alias("n"), F.col("stored"))).alias("stored_cluster"), F.max("n").alias("stored_members"))
-    return stands.join(stored, "cluster_key", "left").select(
-        "cluster_key", "size", "dense_members", "cells", "typical", F.col("dominant").alias("dominant_species"), F.round("dominant_share", 6).alias("dominant_share"), "stored_cluster", "stored_members"
-    )
+    return counts_within(located_trees(spark, sf_dir), RADIUS).select(F.col("id").alias("tree_id"), F.col("n").alias("density25"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +73,4 @@ def p6_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_value_counts, p3_found, p3_density25, p4_found, p4_stands, p5_found, p5_reasons, p5_rolling, p6_found, p6_profile, p6_distance)}
+    return {f.__name__: f for f in (p2_found, p2_value_counts, p3_found, p3_density25, p5_found, p5_reasons, p5_rolling, p6_found, p6_profile, p6_distance)}

@@ -17,7 +17,7 @@ tok AS (
   FROM val
 )"""
 
-_LOCATED = """
+LOCATED = """
 pts AS (
   SELECT tree_id AS id, min(X) AS x, min(Y) AS y FROM cluster_analysis_data
   WHERE tree_id IS NOT NULL AND X BETWEEN 300000 AND 900000 AND Y BETWEEN 6500000 AND 7200000 GROUP BY tree_id
@@ -29,19 +29,6 @@ pts AS (
   WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 625
 )"""
 
-_CLUSTER = f"""{_LOCATED}, dense AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 10
-), link AS MATERIALIZED (SELECT a, b FROM near SEMI JOIN dense d ON near.a = d.id SEMI JOIN dense e ON near.b = e.id
-), reach(id, root) AS (
-  SELECT id, id FROM dense
-  UNION
-  SELECT link.b, reach.root FROM reach JOIN link ON reach.id = link.a WHERE reach.root < link.b
-), core AS (SELECT id, min(root) AS root FROM reach GROUP BY id
-), member AS (
-  SELECT id, root, TRUE AS dense FROM core
-  UNION ALL
-  SELECT near.a, min(core.root), FALSE FROM near JOIN core ON near.b = core.id WHERE near.a NOT IN (SELECT id FROM dense) GROUP BY near.a
-), found AS (SELECT min(id) OVER (PARTITION BY root) AS cluster_key, id, dense FROM member)"""
-
 _READ = """
 long AS (
   SELECT tree_id AS item, strip_id AS source, seq_no AS ord, f.field AS field,
@@ -85,23 +72,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"WITH {_SPLIT} SELECT row_id, pos, soil_value FROM clean WHERE n >= 2",
         "p2_value_counts": f"WITH {_SPLIT} SELECT soil_value, count(*) AS n, CAST(max(pos) AS BIGINT) AS last_pos FROM clean GROUP BY soil_value",
-        "p3_found": f"WITH {_LOCATED} SELECT a AS tree_id_a, b AS tree_id_b FROM near WHERE a < b",
-        "p3_density25": f"WITH {_LOCATED} SELECT a AS tree_id, count(*) - 1 AS density25 FROM near GROUP BY a",
-        "p4_found": f"WITH RECURSIVE {_CLUSTER} SELECT cluster_key, id AS tree_id FROM found",
-        "p4_stands": f"""WITH RECURSIVE {_CLUSTER}, grid AS (SELECT id, CAST(floor(x / (25 / sqrt(2) * (1 - 1e-9))) AS BIGINT) AS gx, CAST(floor(y / (25 / sqrt(2) * (1 - 1e-9))) AS BIGINT) AS gy FROM pts
-), last AS (
-  SELECT tree_id AS id, Species AS kind, Cluster_ID AS stored FROM cluster_analysis_data
-  QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY updated_at DESC NULLS LAST, Species DESC NULLS LAST, Cluster_ID DESC NULLS LAST) = 1
-), m AS (SELECT found.*, gx, gy, kind, stored FROM found JOIN grid USING (id) LEFT JOIN last USING (id)
-), c AS (SELECT cluster_key, gx, gy, count(*) AS n, sum(CAST(dense AS INTEGER)) AS d FROM m GROUP BY ALL
-), s AS (SELECT cluster_key, CAST(sum(n) AS BIGINT) AS size, CAST(sum(d) AS BIGINT) AS dense_members, count(*) AS cells, arg_min((gx, gy), (-n, gx, gy)) AS top FROM c GROUP BY cluster_key
-), t AS (SELECT cluster_key, m.id, row_number() OVER (PARTITION BY cluster_key ORDER BY m.id) AS r FROM m JOIN s USING (cluster_key) WHERE (gx, gy) = top
-), tt AS (SELECT cluster_key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS typical FROM t WHERE r <= 3 GROUP BY cluster_key
-), k AS (SELECT cluster_key, kind, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY ALL
-), kk AS (SELECT cluster_key, arg_min(kind, (-n, kind)) AS dominant_species, round(max(n) / sum(n), 6) AS dominant_share FROM k GROUP BY cluster_key
-), o AS (SELECT cluster_key, stored, count(*) AS n FROM m WHERE stored IS NOT NULL GROUP BY ALL
-), oo AS (SELECT cluster_key, arg_min(stored, (-n, stored)) AS stored_cluster, max(n) AS stored_members FROM o GROUP BY cluster_key)
-SELECT cluster_key, size, dense_members, cells, typical, dominant_species, dominant_share, stored_cluster, stored_members FROM s LEFT JOIN tt USING (cluster_key) LEFT JOIN kk USING (cluster_key) LEFT JOIN oo USING (cluster_key)""",
+        "p3_found": f"WITH {LOCATED} SELECT a AS tree_id_a, b AS tree_id_b FROM near WHERE a < b",
+        "p3_density25": f"WITH {LOCATED} SELECT a AS tree_id, count(*) - 1 AS density25 FROM near GROUP BY a",
         "p5_found": f"WITH {_FLAG} SELECT DISTINCT item AS tree_id, field FROM flagged",
         "p5_reasons": f"WITH {_FLAG} SELECT field, reason, count(*) AS n FROM flagged GROUP BY field, reason",
         "p5_rolling": f"""WITH {_READ}, w AS (
