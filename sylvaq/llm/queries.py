@@ -1,4 +1,4 @@
-"""Queries of problems 1, 7, 8 and 9 over the test tables, with SQL where it can say the same."""
+"""Queries of problems 1, 4, 7, 8 and 9 over the test tables, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvaq.llm.clusters import density_clusters, describe_clusters
 from sylvaq.llm.mixing import balanced_mix, share_report
 from sylvaq.llm.packing import fill_report, pack
 from sylvaq.llm.sketch import RANK_ERROR, Sketch, build_sketches, merge_sketches, quantiles
 from sylvaq.llm.textstats import document_stats, text_types, vote_report
 from sylvaq.llm.tokens import token_counts
+from sylvaq.plans.records import DENSE, RADIUS, located_trees
+from sylvaq.plans.records_sql import LOCATED
 from sylvaq.scratch import checkpointed
 
 PROBS = [0.01, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -83,6 +86,31 @@ def p1_without_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("Species", "field", less("a", "b", "c").alias("r")).select("Species", "field", "r.n", "r.same")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density_clusters(located_trees(spark, sf_dir), RADIUS, DENSE).select("cluster_key", F.col("id").alias("tree_id"))
+
+
+def p4_stands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stands with size, typical members, dominant species and the stored label and regime most of the members carry.
+
+    Regimes are compared trimmed and in lower case.
+    """
+    raw = _table(spark, sf_dir, "cluster_analysis_data").where(F.col("tree_id").isNotNull())
+    # of repeated rows the last updated one counts; equal times: the larger label
+    last = raw.groupBy("tree_id").agg(F.max(F.struct("updated_at", "Species", "Cluster_ID", F.lower(F.trim("Regime")).alias("Regime"))).alias("r"))
+    last = last.select(F.col("tree_id").alias("id"), F.col("r.Species").alias("kind"), F.col("r.Cluster_ID").alias("cluster"), F.col("r.Regime").alias("regime"))
+    members = checkpointed(density_clusters(located_trees(spark, sf_dir), RADIUS, DENSE).join(last, "id", "left"))
+    out = describe_clusters(members.drop("kind", "cluster", "regime"), members.select("id", "kind"))
+    for stored in ("cluster", "regime"):
+        n = members.where(F.col(stored).isNotNull()).groupBy("cluster_key", stored).agg(F.count(F.lit(1)).alias("n"))
+        top = F.min_by(stored, F.struct((-F.col("n")).alias("n"), F.col(stored))).alias(f"stored_{stored}")
+        out = out.join(n.groupBy("cluster_key").agg(top, F.max("n").alias(f"{stored}_members")), "cluster_key", "left")
+    return out.select(
+        "cluster_key", "size", "dense_members", "cells", "typical", F.col("dominant").alias("dominant_species"), F.round("dominant_share", 6).alias("dominant_share"),
+        "stored_cluster", F.col("cluster_members").alias("stored_members"), "stored_regime", "regime_members",
+    )
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]).withColumnRenamed("doc_id", "id"))
 
@@ -141,11 +169,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_percentiles, p1_rank_check, p1_without_load, p7_containers, p7_fill, p7_instruction_fill, p8_selection, p8_shares, p9_found, p9_stats, p9_types, p9_votes,
+            p1_percentiles, p1_rank_check, p1_without_load, p4_found, p4_stands, p7_containers, p7_fill, p7_instruction_fill, p8_selection, p8_shares, p9_found, p9_stats, p9_types, p9_votes,
         )
     }
 
 
+_CLUSTER = f"""{LOCATED}, dense AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 10
+), link AS MATERIALIZED (SELECT a, b FROM near SEMI JOIN dense d ON near.a = d.id SEMI JOIN dense e ON near.b = e.id
+), reach(id, root) AS (
+  SELECT id, id FROM dense
+  UNION
+  SELECT link.b, reach.root FROM reach JOIN link ON reach.id = link.a WHERE reach.root < link.b
+), core AS (SELECT id, min(root) AS root FROM reach GROUP BY id
+), member AS (
+  SELECT id, root, TRUE AS dense FROM core
+  UNION ALL
+  SELECT near.a, min(core.root), FALSE FROM near JOIN core ON near.b = core.id WHERE near.a NOT IN (SELECT id FROM dense) GROUP BY near.a
+), found AS (SELECT min(id) OVER (PARTITION BY root) AS cluster_key, id, dense FROM member)"""
+
 _VALUES = """
 v AS (
   SELECT Species, load_id, 'Annual_Carbon_Growth' AS field, Annual_Carbon_Growth AS v FROM tree_carbon_updated7_spatial
@@ -161,6 +202,23 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_rank_check": f"WITH {_VALUES} SELECT scope, Species, load_id, field, n, CAST(prob AS DOUBLE) AS prob, TRUE AS within FROM g, (VALUES (0.01), (0.25), (0.5), (0.75), (0.95), (0.99)) p(prob)",
         "p1_without_load": f"WITH {_VALUES} SELECT Species, field, CAST(sum(CASE WHEN load_id < (SELECT max(load_id) FROM v) THEN n ELSE 0 END) AS BIGINT) AS n, TRUE AS same FROM g WHERE scope = 'load' GROUP BY Species, field",
+        "p4_found": f"WITH RECURSIVE {_CLUSTER} SELECT cluster_key, id AS tree_id FROM found",
+        "p4_stands": f"""WITH RECURSIVE {_CLUSTER}, grid AS (SELECT id, CAST(floor(x / (25 / sqrt(2) * (1 - 1e-9))) AS BIGINT) AS gx, CAST(floor(y / (25 / sqrt(2) * (1 - 1e-9))) AS BIGINT) AS gy FROM pts
+), last AS (
+  SELECT tree_id AS id, Species AS kind, Cluster_ID AS stored, lower(trim(Regime)) AS regime FROM cluster_analysis_data
+  QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY updated_at DESC NULLS LAST, Species DESC NULLS LAST, Cluster_ID DESC NULLS LAST, lower(trim(Regime)) DESC NULLS LAST) = 1
+), m AS (SELECT found.*, gx, gy, kind, stored, regime FROM found JOIN grid USING (id) LEFT JOIN last USING (id)
+), c AS (SELECT cluster_key, gx, gy, count(*) AS n, sum(CAST(dense AS INTEGER)) AS d FROM m GROUP BY ALL
+), s AS (SELECT cluster_key, CAST(sum(n) AS BIGINT) AS size, CAST(sum(d) AS BIGINT) AS dense_members, count(*) AS cells, arg_min((gx, gy), (-n, gx, gy)) AS top FROM c GROUP BY cluster_key
+), t AS (SELECT cluster_key, m.id, row_number() OVER (PARTITION BY cluster_key ORDER BY m.id) AS r FROM m JOIN s USING (cluster_key) WHERE (gx, gy) = top
+), tt AS (SELECT cluster_key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS typical FROM t WHERE r <= 3 GROUP BY cluster_key
+), k AS (SELECT cluster_key, kind, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY ALL
+), kk AS (SELECT cluster_key, arg_min(kind, (-n, kind)) AS dominant_species, round(max(n) / sum(n), 6) AS dominant_share FROM k GROUP BY cluster_key
+), o AS (SELECT cluster_key, stored, count(*) AS n FROM m WHERE stored IS NOT NULL GROUP BY ALL
+), oo AS (SELECT cluster_key, arg_min(stored, (-n, stored)) AS stored_cluster, max(n) AS stored_members FROM o GROUP BY cluster_key
+), e AS (SELECT cluster_key, regime, count(*) AS n FROM m WHERE regime IS NOT NULL GROUP BY ALL
+), ee AS (SELECT cluster_key, arg_min(regime, (-n, regime)) AS stored_regime, max(n) AS regime_members FROM e GROUP BY cluster_key)
+SELECT cluster_key, size, dense_members, cells, typical, dominant_species, dominant_share, stored_cluster, stored_members, stored_regime, regime_members FROM s LEFT JOIN tt USING (cluster_key) LEFT JOIN kk USING (cluster_key) LEFT JOIN oo USING (cluster_key) LEFT JOIN ee USING (cluster_key)""",
         "p9_stats": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\s\x0b\x1c-\x1f\x85\xa0]+'), lambda x: x <> '') AS w,
          list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\s\x0b\x85\xa0]+$', '')), lambda x: x <> '') AS l FROM d)
