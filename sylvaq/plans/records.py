@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sylvaq.operators.fields import split_values
 from sylvaq.operators.near import counts_within, located_points, pairs_within
 from sylvaq.operators.quality import Rule, findings, load_distances, profile_loads
-from sylvaq.operators.spikes import implausible_readings, rolling_hampel
+from sylvaq.operators.spikes import Rules, implausible_readings, judged_readings
 from sylvaq.sources.tables import table
 
 CARBON = "tree_carbon_updated7_spatial"
@@ -43,6 +43,7 @@ def p3_density25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the definition of the case the window of the Hampel filter is the whole strip."""
     flagged = implausible_readings(table(spark, sf_dir, "tree"), "tree_id", "strip_id", "seq_no", HEIGHTS)
     return flagged.select(F.col("item").alias("tree_id"), "field").distinct()
 
@@ -53,7 +54,8 @@ def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rolling_hampel(table(spark, sf_dir, "tree"), "tree_id", "strip_id", "seq_no", HEIGHTS)
+    """The same filter in a window of seven readings on either side."""
+    r = judged_readings(table(spark, sf_dir, "tree"), "tree_id", "strip_id", "seq_no", HEIGHTS, Rules(half=7))
     return r.where("spike").select(F.col("item").alias("tree_id"), "field", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"))
 
 

