@@ -79,7 +79,7 @@ def test_rolling(spark, partitions):
     got = {r.item: r for r in judged_readings(make(spark, data), "tree", "strip", "seq", ["H"], Rules(half=5), partitions=partitions).collect()}
     assert len(got) == len(data)
     for i in range(300):
-        near = [v for *_, v in data[max(0, i - 5) : i + 6]]
+        near = [v for *_, v in data[max(0, i - 5) : min(300, i + 6)]]
         med = statistics.median(near)
         mad = statistics.median(abs(v - med) for v in near)
         assert math.isclose(got[i].med, med) and math.isclose(got[i].mad, mad, abs_tol=1e-12)
