@@ -12,7 +12,7 @@ from sylvaq.llm.clusters import density_clusters, describe_clusters
 from sylvaq.llm.mixing import balanced_mix, share_report
 from sylvaq.llm.packing import fill_report, pack
 from sylvaq.llm.sketch import RANK_ERROR, Sketch, build_sketches, merge_sketches, quantiles
-from sylvaq.llm.textstats import document_stats, text_types, vote_report
+from sylvaq.llm.textstats import common_words, document_stats, text_types, vote_report
 from sylvaq.llm.tokens import token_counts
 from sylvaq.plans.records import DENSE, RADIUS, located_trees
 from sylvaq.plans.records_sql import LOCATED
@@ -146,23 +146,28 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(balanced_mix(docs, targets), docs, targets)
 
 
+def _document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents by the common words learned from them; the languages are those the documents state."""
+    docs = _table(spark, sf_dir, "documents")
+    return document_stats(docs, "doc_id", "text", common_words(docs, "text", "lang"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = checkpointed(document_stats(_table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return text_types(stats).where(F.col("text_type") == "other").select("doc_id")
+    return text_types(checkpointed(_document_stats(spark, sf_dir))).where(F.col("text_type") == "other").select("doc_id")
 
 
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = document_stats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    """The statistics the problem asks for; sizes and two of the shares are compared with SQL."""
     shares = [F.round(c, 6).alias(c) for c in ("mean_word_length", "punctuated_line_share")]
-    return stats.select("doc_id", "n_chars", "n_words", "n_lines", *shares)
+    return _document_stats(spark, sf_dir).select("doc_id", "n_chars", "n_words", "n_lines", *shares)
 
 
 def p9_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_types(checkpointed(document_stats(_table(spark, sf_dir, "documents"), "doc_id", "text")))
+    return text_types(checkpointed(_document_stats(spark, sf_dir)))
 
 
 def p9_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vote_report(checkpointed(document_stats(_table(spark, sf_dir, "documents"), "doc_id", "text")))
+    return vote_report(checkpointed(_document_stats(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,23 +8,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Common function words of the four languages; a parameter of every operator here.
-COMMON = tuple(
-    """
-    the of and to in a is was it has by had who for with which that on its as are were be from at this although because where when until but than
-    der die das und den von zu mit sich auf für ist im dem nicht ein eine als auch es an werden aus er wird bei einer um am sind noch nach wurde hat in
-    och i att det som en på är av för med till de har ett om men var från under också efter eller sin där vid mot ska kan inte den fram
-    ja on ei että se oli mutta ovat kun myös tai jos joka kuin sen jossa sekä jonka missä vuonna vuosien välillä noin vaikka sillä koska siihen edelleen oli siitä enää kohti osa jälkeen
-    """.split()
-)
-SENTENCE_END = (".", "!", "?", "…", ".\"", "!\"", "?\"", ".'", ".)", "!)", "?)")
+from sylvaq.scratch import checkpointed
 
 #: Words of a piece, and the mean length beyond which it holds something else than words.
 PIECE, LONG_WORD = 8, 14
+#: Most frequent words of a language that count as its common words, and how often one text may count for a word.
+TOP_WORDS, PER_TEXT = 40, 8
+#: Texts looked at together (at most 2 ** (64 - MARK_BITS)); bounds the arrays of a task.
+TOGETHER, MARK_BITS = 512, 53
 #: Statistics of one text, in the order in which they come out.
 STATS = {
     "n_chars": T.LongType(),
@@ -37,121 +32,236 @@ STATS = {
     "common_word_share": T.DoubleType(),
     "punctuated_line_share": T.DoubleType(),
     "top_word_share": T.DoubleType(),
+    "distinct_word_share": T.DoubleType(),
     "words_per_line": T.DoubleType(),
     "sentence_share": T.DoubleType(),
     "running_share": T.DoubleType(),
 }
 
 
+SPACE, LETTER, DIGIT, SYMBOL = range(4)
+_STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse in 64-bit arithmetic
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Class of every code point: 0 white space, 1 letter or mark, 2 digit, 3 symbol."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per code point: its class, whether it is lower case, whether upper or title case, its lower-case form."""
     import unicodedata
 
-    table = np.full(0x110000, 3, np.uint8)
+    kind, low, high = np.full(0x110000, SYMBOL, np.uint8), np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    fold = np.arange(0x110000, dtype=np.uint32)
     for c in range(0x30000):
         ch = chr(c)
         if ch.isspace():
-            table[c] = 0
-        elif (kind := unicodedata.category(ch)[0]) in "LM":
-            table[c] = 1
-        elif kind == "N":
-            table[c] = 2
-    return table
-
-
-def text_stats(texts: list[str | None], common: frozenset[str]) -> dict[str, np.ndarray]:
+            kind[c] = SPACE
+        elif (group := unicodedata.category(ch)) < "N" and group[0] in "LM":
+            kind[c] = LETTER
+            low[c], high[c] = ch.islower(), ch.isupper() or ch.istitle()
+            if len(small := ch.lower()) == 1:
+                fold[c] = ord(small)
+        elif group[0] == "N":
+            kind[c] = DIGIT
+            low[c], high[c] = ch.islower(), ch.isupper()
+    return kind, low, high, fold
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    both = []
+    for base in (_STEP, _BACK):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        both.append(np.cumprod(p, dtype=np.uint64))
+    return both[0], both[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A number whose every bit depends on all of ``h``, one to one."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_STEP)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_STEP)
+    return h ^ (h >> np.uint64(32))
+
+
+class Words:
+    """The words (runs without white space) of some texts as arrays; None counts as an empty text."""
+
+    def __init__(self, texts: list[str | None]):
+        texts = [t or "" for t in texts]
+        self.size = np.array([len(t) for t in texts], np.int64)
+        # a line break behind every text keeps words and lines apart
+        self.code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.begin = np.concatenate([[0], np.cumsum(self.size + 1)])
+        kinds, low, high, fold = _tables()
+        self.kind = kinds[self.code]
+        ink = np.concatenate([[False], self.kind != SPACE])
+        edge = np.flatnonzero(ink[1:] != ink[:-1])
+        self.start, self.end = edge[0::2], edge[1::2]
+        self.length = self.end - self.start
+        self.text = np.searchsorted(self.begin, self.start, "right") - 1
+        self.line = np.cumsum(self.code == 10)[self.start] if len(self.start) else np.zeros(0, np.int64)
+        lows, highs = self.within(low[self.code]), self.within(high[self.code])
+        self.lower, self.upper = (lows > 0) & (highs == 0), (highs > 0) & (lows == 0)
+        n = 1 << max(4, int(len(self.code)).bit_length())
+        power, back = _powers(n)
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(fold[self.code].astype(np.uint64) * power[: len(self.code)], dtype=np.uint64)])
+        #: one number of MARK_BITS bits per spelling, whatever its case
+        self.mark = _mixed((run[self.end] - run[self.start]) * back[self.start]) >> np.uint64(64 - MARK_BITS)
+
+    def within(self, flag: np.ndarray) -> np.ndarray:
+        """How many characters of each word have the flag."""
+        run = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
+        return run[self.end] - run[self.start]
+
+    def of_texts(self, flag: np.ndarray) -> np.ndarray:
+        """How many characters of each text have the flag."""
+        run = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
+        return run[self.begin[1:] - 1] - run[self.begin[:-1]]
+
+    def spellings(self, take: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, mark, count) of every spelling in every text, in this order."""
+        shift = np.uint64(MARK_BITS)
+        both = np.sort((self.text[take].astype(np.uint64) << shift) | self.mark[take])
+        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        return (both[at] >> shift).astype(np.int64), both[at] & np.uint64((1 << MARK_BITS) - 1), np.diff(np.append(at, len(both)))
+
+
+def word_marks(words: list[str]) -> np.ndarray:
+    """The numbers by which words are known; blanks give none."""
+    return np.unique(Words(list(words)).mark)
+
+
+def _member(marks: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(marks), bool)
+    return known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] == marks
+
+
+def text_stats(texts: list[str | None], common: np.ndarray) -> dict[str, np.ndarray]:
     """Statistics of each text; None counts as an empty one, whose shares are all 0.
 
-    Words are runs without white space. A line runs if it has at least four words
-    of which a seventh or more are common; ``sentence_share`` is the share of the
-    characters that stand in such lines. ``running_share`` asks the same of pieces
+    ``common``: sorted word_marks of the common words. A line runs if it has at least
+    four words of which a seventh or more are common; ``sentence_share`` is the share of
+    the characters that stand in such lines. ``running_share`` asks the same of pieces
     of eight words, whatever the line breaks: one word at least common, half of them in
     lower case or all in capitals, and of ordinary length. ``words_per_line`` is the mean
     over characters, not over lines; ``top_word_share`` the share of the words that
-    equal the most frequent one.
+    equal the most frequent one, ``distinct_word_share`` that of different ones. All
+    texts are worked on at once, as arrays of characters, words, lines and pieces.
     """
-    texts = [t or "" for t in texts]
-    out = {k: np.zeros(len(texts)) for k in STATS}
-    size = np.array([len(t) for t in texts], np.int64)
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = _classes()[code]
-    at = np.concatenate([[0], np.cumsum(size)])
-    ink = np.maximum(1, (size - _sums(kind == 0, at)))
-    out["n_chars"] = size
-    out["symbol_share"] = _sums(kind == 3, at) / ink
-    out["digit_share"] = _sums(kind == 2, at) / ink
-    has = common.__contains__
-    for i, t in enumerate(texts):
-        total = long = lines = ended = chars = weighted = running = 0
-        known = small = 0
-        every: list[str] = []
-        for line in t.split("\n"):
-            words = line.split()
-            n = len(words)
-            if not n:
-                continue
-            m = len(line)
-            lines += 1
-            ended += line.rstrip().endswith(SENTENCE_END)
-            chars += m
-            weighted += m * n
-            if n > 3:
-                k = sum(map(has, words)) or sum(map(has, line.lower().split()))
-                if 7 * k >= n:
-                    running += m
-            every += words
-        total = len(every)
-        if not total:
-            continue
-        letters = sum(map(len, every))
-        lows = [w.islower() for w in every]
-        small = sum(lows)
-        folded = every if small == total else [w.lower() for w in every]
-        marks = list(map(has, folded))
-        known = sum(marks)
-        for s in range(0, total, PIECE):
-            e = s + PIECE
-            part = len(marks[s:e])
-            if part > 3 and any(marks[s:e]) and (2 * sum(lows[s:e]) >= part or all(map(str.isupper, every[s:e]))):
-                ink_here = sum(map(len, every[s:e]))
-                if ink_here <= LONG_WORD * part:
-                    long += ink_here
-        out["n_words"][i], out["n_lines"][i] = total, lines
-        out["mean_word_length"][i] = letters / total
-        out["lower_word_share"][i] = small / total
-        out["common_word_share"][i] = known / total
-        out["punctuated_line_share"][i] = ended / lines
-        out["words_per_line"][i] = weighted / chars
-        out["sentence_share"][i] = running / chars
-        out["running_share"][i] = long / letters
-        counts: dict[str, int] = {}
-        for w in folded:
-            counts[w] = counts.get(w, 0) + 1
-        out["top_word_share"][i] = max(counts.values()) / total
+    w = Words(texts)
+    n, m = len(w.size), len(w.start)
+    out = {k: np.zeros(n) for k in STATS}
+    out["n_chars"] = w.size
+    ink = np.maximum(1, w.size - w.of_texts(w.kind == SPACE))
+    out["symbol_share"], out["digit_share"] = w.of_texts(w.kind == SYMBOL) / ink, w.of_texts(w.kind == DIGIT) / ink
+    if not m:
+        return out
+    count = np.bincount(w.text, minlength=n)
+    some = np.maximum(1, count)
+    letters = np.bincount(w.text, w.length, n)
+    known = _member(w.mark, common)
+    out["n_words"] = count
+    out["mean_word_length"] = letters / some
+    out["lower_word_share"] = np.bincount(w.text, w.lower, n) / some
+    out["common_word_share"] = np.bincount(w.text, known, n) / some
+
+    # lines: runs of words with the same line number
+    at = np.flatnonzero(np.concatenate([[True], w.line[1:] != w.line[:-1]]))
+    last = np.append(at[1:], m) - 1
+    per, own = last - at + 1, w.text[at]
+    breaks = np.flatnonzero(w.code == 10)
+    line = w.line[at]
+    chars = (breaks[line] - np.where(line > 0, breaks[line - 1] + 1, 0)).astype(float)
+    tail, before = w.code[w.end[last] - 1], w.code[np.maximum(w.end[last] - 2, 0)]
+    stop = np.isin(before, [33, 46, 63])
+    ended = np.isin(tail, [33, 46, 63, 0x2026]) | (np.isin(tail, [34, 41]) & stop) | ((tail == 39) & (before == 46))
+    runs = (per > 3) & (7 * np.add.reduceat(known.astype(np.int64), at) >= per)
+    lines, width = np.bincount(own, minlength=n), np.maximum(1, np.bincount(own, chars, n))
+    out["n_lines"] = lines
+    out["punctuated_line_share"] = np.bincount(own, ended, n) / np.maximum(1, lines)
+    out["words_per_line"] = np.bincount(own, chars * per, n) / width
+    out["sentence_share"] = np.bincount(own, chars * runs, n) / width
+
+    # pieces: eight words after another, from the start of each text
+    place = np.arange(m) - (np.cumsum(count) - count)[w.text]
+    at = np.flatnonzero(place % PIECE == 0)
+    part, own = np.diff(np.append(at, m)), w.text[at]
+    total = lambda x: np.add.reduceat(x.astype(np.int64), at)
+    size = total(w.length)
+    runs = (part > 3) & (total(known) > 0) & ((2 * total(w.lower) >= part) | (total(w.upper) == part)) & (size <= LONG_WORD * part)
+    out["running_share"] = np.bincount(own, size * runs, n) / np.maximum(1, letters)
+
+    t, _, times = w.spellings()
+    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    often = np.zeros(n, np.int64)
+    often[t[first]] = np.maximum.reduceat(times, first)
+    out["top_word_share"] = often / some
+    out["distinct_word_share"] = np.bincount(t, minlength=n) / some
     return out
 
 
-def _sums(flag: np.ndarray, at: np.ndarray) -> np.ndarray:
-    run = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
-    return run[at[1:]] - run[at[:-1]]
+def word_counts(df: DataFrame, text: str, language: str | None = None) -> DataFrame:
+    """(language, mark, n): how often each word of small letters alone occurs in the texts of each language.
 
+    One text counts at most PER_TEXT times for a word, so that a text that repeats
+    itself does not make a word common. One pass over all texts; equal words of up to
+    TOGETHER texts are counted before they leave the task. Languages are compared by their first two letters, in lower
+    case; NULL, and every text without ``language``, is a language of its own.
+    """
+    name = F.lower(F.substring(F.trim(F.col(f"`{language}`").cast("string")), 1, 2)) if language else F.lit(None).cast("string")
+    narrow = df.select(name.alias("language"), F.col(f"`{text}`").cast("string").alias("__text"))
 
-def document_stats(df: DataFrame, key: str, text: str, common: tuple[str, ...] = COMMON) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(s, TOGETHER)
+                w = Words(part.column(1).to_pylist())
+                plain = w.lower & (w.within(w.kind == LETTER) == w.length)
+                enc = part.column(0).dictionary_encode()
+                names = enc.indices.fill_null(len(enc.dictionary)).to_numpy(zero_copy_only=False)
+                text, mark, n = w.spellings(plain)
+                both, place = np.unique((names[text].astype(np.uint64) << np.uint64(MARK_BITS)) | mark, return_inverse=True)
+                own = pa.array([*enc.dictionary.to_pylist(), None], pa.string()).take(pa.array((both >> np.uint64(MARK_BITS)).astype(np.int64)))
+                mark = (both & np.uint64((1 << MARK_BITS) - 1)).astype(np.int64)
+                n = np.bincount(place, np.minimum(n, PER_TEXT), len(both)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([own, pa.array(mark), pa.array(n)], names=["language", "mark", "n"])
+
+    parts = narrow.mapInArrow(run, "language string, mark bigint, n bigint")
+    return parts.groupBy("language", "mark").agg(F.sum("n").alias("n"))
+
+
+def common_words(df: DataFrame, text: str, language: str | None = None, top: int = TOP_WORDS, least_share: float = 0.005) -> np.ndarray:
+    """Sorted marks of the common words, learned from all texts: the ``top`` most frequent words of
+    every language that holds ``least_share`` of all words (ties: the smaller mark).
+
+    At most ``top / least_share`` numbers reach the driver. No texts, no common words.
+    """
+    counts = checkpointed(word_counts(df, text, language))
+    totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
+    every = totals.agg(F.sum("total")).first()[0] or 0
+    large = totals.where(F.col("total") >= least_share * every).select("language")
+    # ranked first within 64 shares of a language, so that its words never meet in one task
+    share = Window.partitionBy("language", F.pmod("mark", F.lit(64))).orderBy(F.desc("n"), "mark")
+    some = counts.join(F.broadcast(large.withColumnRenamed("language", "__l")), F.col("language").eqNullSafe(F.col("__l"))).withColumn("r", F.row_number().over(share)).where(F.col("r") <= top)
+    best = some.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "mark"))).where(F.col("r") <= top)
+    return np.unique(np.array([r.mark for r in best.select("mark").collect()], np.int64).astype(np.uint64))
+
+
+def document_stats(df: DataFrame, key: str, text: str, common: np.ndarray) -> DataFrame:
     """``key`` and the STATS of ``text``: a narrow map over whole texts, no shuffle.
 
-    NULL and empty texts have counts and shares of 0; repeated rows stay; other
-    columns are not read.
+    ``common``: marks of the common words, from common_words or word_marks. NULL and
+    empty texts have counts and shares of 0; repeated rows stay; other columns are not read.
     """
     narrow = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([df.schema[key], *[T.StructField(k, t) for k, t in STATS.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = frozenset(common)
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                stats = text_stats(part.column(1).to_pylist(), words)
+            for s in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(s, TOGETHER)
+                stats = text_stats(part.column(1).to_pylist(), common)
                 cols = [pa.array(stats[k].astype(np.int64 if t == T.LongType() else np.float64)) for k, t in STATS.items()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=schema.names)
 
@@ -180,10 +290,10 @@ class Vote:
         return v
 
 
+#: Two look at common words, once along lines and once along words; the others at layout, case, characters and repetition.
 VOTES = (
     Vote("sentence_share", junk_below=0.5, prose_above=0.5),
     Vote("running_share", junk_below=0.4, prose_above=0.55),
-    Vote("common_word_share", junk_below=0.06, prose_above=0.15),
     Vote("words_per_line", junk_below=3.0, prose_above=12.0),
     Vote("punctuated_line_share", prose_above=0.6),
     Vote("lower_word_share", junk_below=0.25, prose_above=0.7),
