@@ -19,67 +19,65 @@ def tidy_source(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s\-_]+", "_")
 
 
+def _moved(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Probabilities (rows of one to three documents) after one move of every row along its null space.
+
+    Three documents have a direction that keeps both their sum and sum(p * size), two one
+    that keeps sum(p * size), a single one just moves. Each row goes to one of the
+    two ends where a probability becomes whole, at random such that its expectation stays.
+    """
+    rows, k = p.shape
+    if k == 3:
+        u, plain = size[:, [1, 2, 0]] - size[:, [2, 0, 1]], [1.0, -1.0, 0.0]
+    elif k == 2:
+        u, plain = size[:, [1, 0]] * [1.0, -1.0], [1.0, -1.0]
+    else:
+        u, plain = np.ones((rows, 1)), [1.0]
+    u = np.where((u == 0).all(axis=1, keepdims=True), plain, u)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(u > 0, (1 - p) / u, np.where(u < 0, p / -u, np.inf))
+        down = np.where(u > 0, p / u, np.where(u < 0, (1 - p) / -u, np.inf))
+    high, low = up.min(axis=1), down.min(axis=1)
+    rise = rng.random(rows) * (high + low) < low
+    at = np.where(rise, up.argmin(axis=1), down.argmin(axis=1))
+    p = p + np.where(rise, high, -low)[:, None] * u
+    row = np.arange(rows)
+    p[row, at] = np.where((u[row, at] > 0) == rise, 1.0, 0.0)  # the one that became whole, exactly
+    p[p <= EPS], p[p >= 1 - EPS] = 0.0, 1.0
+    return p
+
+
 def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
     """Moves fractional inclusion probabilities to 0 or 1, keeping their sum and sum(prob * size).
 
-    Always the next few undecided documents are moved along the null space of the
-    balancing equations, at random to one of the two ends where a probability
-    becomes whole, such that every document keeps its expected inclusion. Three
-    documents leave room for both equations; with ``land`` the count is given up
-    first, then the tokens, until all are decided. Otherwise at most two stay
-    fractional.
+    Undecided documents are moved in groups of three, all groups of a round at once,
+    along the null space of the balancing equations; every move decides at least one
+    of a group, so the rounds are about the logarithm of the documents. With
+    ``land`` the count is given up in the end, then the tokens, until all are
+    decided. Otherwise at most two stay fractional.
     """
     p = prob.astype(float).copy()
-    pending = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS]
     p[p <= EPS], p[p >= 1 - EPS] = 0.0, 1.0
-    coin = iter(rng.random(3 * len(pending) + 8))
+    pending = np.flatnonzero((p > 0) & (p < 1))
     for k in (3, 2, 1) if land else (3,):
-        live: list[int] = []
-        rest = iter(pending)
-        while True:
-            while len(live) < k and (i := next(rest, None)) is not None:
-                live.append(i)
-            if len(live) < k:
-                break
-            if k == 3:
-                a, b, c = live
-                u = [size[b] - size[c], size[c] - size[a], size[a] - size[b]]
-                if not any(u):
-                    u = [1.0, -1.0, 0.0]
-            elif k == 2:
-                a, b = live
-                u = [size[b], -size[a]]
-                if not any(u):
-                    u = [1.0, -1.0]
-            else:
-                u = [1.0]
-            up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(live, u) if x)
-            down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(live, u) if x)
-            step = up if next(coin) * (up + down) < down else -down
-            for i, x in zip(live, u):
-                p[i] += step * x
-            before = len(live)
-            for i in live:
-                if p[i] <= EPS:
-                    p[i] = 0.0
-                elif p[i] >= 1 - EPS:
-                    p[i] = 1.0
-            live = [i for i in live if 0 < p[i] < 1]
-            assert len(live) < before
-        pending = live
+        while len(pending) >= k:
+            groups = len(pending) // k
+            now = pending[: groups * k].reshape(groups, k)
+            p[now] = _moved(p[now], size[now], rng)
+            pending = pending[(p[pending] > 0) & (p[pending] < 1)]
     return p
 
 
 _OUT = "source string, id bigint, tokens bigint, base bigint, prob double"
 
 
-def _mover(seed: int, number: int, land: bool):
+def _mover(seed: int, number: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, number, int(pdf.block.iloc[0]), *pdf.source.iloc[0].encode()])
         order = rng.permutation(len(pdf))
         p = np.empty(len(pdf))
-        p[order] = flight(pdf.prob.to_numpy()[order], pdf.tokens.to_numpy(float)[order], rng, land)
+        p[order] = flight(pdf.prob.to_numpy()[order], pdf.tokens.to_numpy(float)[order], rng, bool(pdf.land.iloc[0]))
         return pdf.assign(prob=p)[["source", "id", "tokens", "base", "prob"]]
 
     return run
@@ -114,35 +112,37 @@ def balanced_mix(docs: DataFrame, targets: DataFrame, total: float | None = None
     (plan_shares); its whole part is given, and the fraction is drawn by the cube
     method, balanced on tokens and on documents. Blocks of about ``block`` documents
     of a source move in parallel and leave at most two undecided documents each;
-    these meet again in the next round, until a source fits one block and lands.
-    So no task holds a large source, and the tokens reached differ from the goal
-    by at most about one document. Sources are compared in one spelling
-    (tidy_source); documents of unlisted or NULL source and those without tokens
-    are not selected. Empty tables give no rows.
+    these meet again in the next round, until a source fits one block and lands,
+    each source by itself. So no task holds a large source, the rounds are the
+    logarithm of the largest source to the base of half a block, and the tokens
+    reached differ from the goal by at most about one document. ``block`` is at
+    least 8. Sources are compared in one spelling (tidy_source); documents of
+    unlisted or NULL source and those without tokens are not selected. Empty tables
+    give no rows.
     """
+    if block < 8:
+        raise ValueError("a block needs at least 8 documents")
     d = docs.select("id", tidy_source(F.col("source")).alias("source"), "tokens").where(F.col("source").isNotNull() & (F.col("tokens") > 0))
     t = targets.select(tidy_source(F.col("source")).alias("source"), "target_share", "max_repeats")
     stats = d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available"))
     rates = checkpointed(plan_shares(stats, t, total).where(F.col("rate") > 0).select("source", "documents", "rate"))
     d = d.join(rates, "source").withColumn("base", F.floor(F.col("rate") + F.lit(EPS)))
     d = d.withColumn("prob", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
-    still = (F.col("prob") > EPS) & (F.col("prob") < 1 - EPS)
     d = d.select("source", "id", "tokens", "base", "prob", "documents")
+    still = (F.col("prob") > EPS) & (F.col("prob") < 1 - EPS)
     decided = [d.where(~still).drop("documents")]
     open_docs, number = d.where(still), 0
     while True:
+        # the block of a document by its source's open documents; a source of one block lands
         blocks = F.greatest(F.lit(1), F.ceil(F.col("documents") / F.lit(block)))
-        keyed = open_docs.withColumn("block", F.pmod(F.xxhash64("id", F.lit(number)), blocks))
-        land = number > 0 and open_docs.count() <= block
-        if land:
-            keyed = keyed.withColumn("block", F.lit(0).cast("bigint"))
-        moved = checkpointed(keyed.drop("documents").groupBy("source", "block").applyInPandas(_mover(seed, number, land), _OUT))
+        keyed = open_docs.withColumns({"block": F.pmod(F.xxhash64("id", F.lit(number)), blocks), "land": blocks == 1}).drop("documents")
+        moved = checkpointed(keyed.groupBy("source", "block").applyInPandas(_mover(seed, number), _OUT))
         decided.append(moved.where(~still))
-        if land:
-            break
         open_docs = moved.where(still)
-        left = open_docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
-        open_docs = checkpointed(open_docs.join(left, "source"))
+        left = checkpointed(open_docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents")))
+        if left.isEmpty():
+            break
+        open_docs = open_docs.join(left, "source")  # a row per listed source
         number += 1
     out = decided[0]
     for x in decided[1:]:

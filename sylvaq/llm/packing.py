@@ -88,6 +88,9 @@ def pieces(items: DataFrame, kinds: DataFrame, segment_tokens: int, loss_share:
     )
 
 
+#: A segment per so many tokens of capacity, and the share of it that may bear loss.
+SEGMENT_TOKENS, LOSS_SHARE = 128, 0.9
+
 _OUT = "kind_id bigint, capacity bigint, max_segments bigint, max_loss bigint, id bigint, piece bigint, tokens bigint, loss bigint, container_id bigint, fill double"
 
 
@@ -98,7 +101,8 @@ def _packer(number: int):
         limits = np.array([first.capacity, first.max_segments, first.max_loss], float)
         size = np.column_stack([pdf.tokens, np.ones(len(pdf)), pdf.loss]).astype(float)
         bins = pack_block(size, limits)
-        fill = np.bincount(bins, weights=pdf.tokens.to_numpy(float)) / limits[0]
+        # a container is as full as its fullest dimension
+        fill = np.max([np.bincount(bins, weights=size[:, d]) / limits[d] for d in range(len(limits))], axis=0)
         pdf["container_id"] = (number << (_BIN + _BLOCK)) | (int(first.block) << _BIN) | bins
         pdf["fill"] = fill[bins]
         return pdf[[c.split()[0] for c in _OUT.split(", ")]]
@@ -106,18 +110,18 @@ def _packer(number: int):
     return run
 
 
-def pack(items: DataFrame, kinds: DataFrame, segment_tokens: int = 8, loss_share: float = 1.0, block: int = BLOCK) -> DataFrame:
+def pack(items: DataFrame, kinds: DataFrame, segment_tokens: int = SEGMENT_TOKENS, loss_share: float = LOSS_SHARE, block: int = BLOCK) -> DataFrame:
     """(kind_id, container, id, piece, tokens, loss): every item of each kind in a container.
 
     A container holds at most ``capacity_tokens`` tokens, ``capacity / segment_tokens``
     pieces and ``loss_share * capacity`` loss-bearing tokens. Whole pieces of long
-    items fill containers alone and need no packing. The rest is spread by a hash
-    of the item over blocks of about ``block`` pieces, each packed in one task by the
-    dot-product heuristic (pack_block); what lies in containers less than FULL full
-    is taken out and packed again, in fewer blocks, ROUNDS times in all.
-    ``items`` needs unique ids; items of 0 tokens come out in no container; a
-    piece that alone breaks the loss limit has a container of its own; no items,
-    no rows. A container is named by kind_id and container.
+    items fill containers alone and need no packing. The rest of each kind is spread
+    by a hash of the item over blocks of about ``block`` pieces, each packed in one
+    task by the dot-product heuristic (pack_block); what lies in containers whose
+    fullest dimension is less than FULL is taken out and packed again, in fewer
+    blocks, ROUNDS times in all. ``items`` needs unique ids; items of 0 tokens come
+    out in no container; a piece that alone breaks the loss limit has a container of
+    its own; no items, no rows. A container is named by kind_id and container.
     """
     todo = pieces(items, kinds, segment_tokens, loss_share)
     whole = todo.where(F.col("tokens") == F.col("capacity"))
@@ -126,11 +130,11 @@ def pack(items: DataFrame, kinds: DataFrame, segment_tokens: int = 8, loss_share
     todo = checkpointed(todo.where(F.col("tokens") < F.col("capacity")))
     done = []
     for number in range(1, ROUNDS + 1):
-        n = todo.count()
-        if not n:
+        n = checkpointed(todo.groupBy("kind_id").agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) / block)).cast("bigint").alias("blocks")))
+        if n.isEmpty():
             break
-        blocks = max(1, round(n / (3 * block)))  # kinds share the block numbers
-        keyed = todo.withColumn("block", F.pmod(F.xxhash64("id", "piece", F.lit(number)), F.lit(blocks)))
+        # a row per kind, of which there are MOST_KINDS at most
+        keyed = todo.join(F.broadcast(n), "kind_id").withColumn("block", F.pmod(F.xxhash64("id", "piece", F.lit(number)), F.col("blocks"))).drop("blocks")
         packed = checkpointed(keyed.groupBy("kind_id", "block").applyInPandas(_packer(number), _OUT))
         keep = packed if number == ROUNDS else packed.where(F.col("fill") >= FULL)
         done.append(keep.select("kind_id", F.col("container_id").cast("string").alias("container"), "id", "piece", "tokens", "loss"))
@@ -141,6 +145,28 @@ def pack(items: DataFrame, kinds: DataFrame, segment_tokens: int = 8, loss_share
     return out
 
 
+def pack_check(packed: DataFrame, items: DataFrame, kinds: DataFrame, segment_tokens: int = SEGMENT_TOKENS, loss_share: float = LOSS_SHARE, fill: float = 0.97) -> DataFrame:
+    """(kind_id, items, whole, within, full): what must hold of a packing, per kind.
+
+    ``whole``: of every item each token lies in exactly one piece, and only items longer
+    than the capacity have several. ``within``: no container of more than one piece
+    breaks a limit, none of one piece the capacity. ``full``: the containers hold at
+    least ``fill`` of the tokens that fit under the limit that binds most: the sum of
+    all sizes in that dimension by its limit is the least number of containers.
+    """
+    k = kinds.where(F.col("capacity_tokens") > 0).select("kind_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    limits = {"tokens": F.col("capacity"), "pieces": F.greatest(F.lit(1), F.floor(F.col("capacity") / segment_tokens)), "loss": F.greatest(F.lit(1), F.floor(F.col("capacity") * loss_share))}
+    per = packed.groupBy("kind_id", "id").agg(F.sum("tokens").alias("got"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("different"), F.max("piece").alias("last"))
+    per = per.join(k, "kind_id").join(items.select("id", "tokens"), "id", "left")
+    once = (F.col("got") == F.col("tokens")) & (F.col("pieces") == F.col("different")) & (F.col("last") == F.col("pieces") - 1) & (F.col("pieces") == F.ceil(F.col("tokens") / F.col("capacity")))
+    whole = per.groupBy("kind_id").agg(F.count(F.lit(1)).alias("items"), F.every(F.coalesce(once, F.lit(False))).alias("whole"))
+    c = packed.groupBy("kind_id", "container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.sum("loss").alias("loss")).join(k, "kind_id")
+    kept = (F.col("tokens") <= F.col("capacity")) & ((F.col("pieces") == 1) | ((F.col("pieces") <= limits["pieces"]) & (F.col("loss") <= limits["loss"])))
+    least = F.greatest(*[F.sum(F.col(d) / x) for d, x in limits.items()])
+    within = c.groupBy("kind_id").agg(F.every(kept).alias("within"), (least >= fill * F.count(F.lit(1))).alias("full"))
+    return whole.join(within, "kind_id")
+
+
 def fill_report(packed: DataFrame, kinds: DataFrame) -> DataFrame:
     """(kind_id, containers, tokens, pieces, fill): how full the containers of each kind are."""
     per = packed.groupBy("kind_id", "container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))

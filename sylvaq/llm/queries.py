@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvaq.llm.clusters import density_clusters, describe_clusters
-from sylvaq.llm.mixing import balanced_mix, share_report
-from sylvaq.llm.packing import fill_report, pack
+from sylvaq.llm.mixing import balanced_mix, share_report, tidy_source
+from sylvaq.llm.packing import fill_report, pack, pack_check
 from sylvaq.llm.sketch import RANK_ERROR, Sketch, build_sketches, merge_sketches, quantiles
 from sylvaq.llm.textstats import common_words, document_stats, text_types, vote_report
 from sylvaq.llm.tokens import token_counts
@@ -121,6 +121,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers under limits on tokens, segments and loss-bearing tokens (packing.SEGMENT_TOKENS, LOSS_SHARE)."""
     packed = pack(_items(spark, sf_dir), _table(spark, sf_dir, "container_kind"))
     return packed.select("kind_id", "container", F.col("id").alias("doc_id"), "piece", "tokens", "loss")
 
@@ -130,10 +131,17 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(pack(_items(spark, sf_dir), kinds), kinds)
 
 
-def p7_instruction_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under tight limits on segments and loss-bearing tokens."""
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each kind's containers hold every document with text once and whole, keep the limits and are full."""
+    items, kinds = _items(spark, sf_dir), _table(spark, sf_dir, "container_kind")
+    check = pack_check(checkpointed(pack(items, kinds)), items, kinds)
+    return check.select("kind_id", F.col("items").alias("documents"), "whole", "within", "full")
+
+
+def p7_token_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fill where tokens alone are limited."""
     kinds = _table(spark, sf_dir, "container_kind")
-    return fill_report(pack(_items(spark, sf_dir), kinds, segment_tokens=128, loss_share=0.9), kinds)
+    return fill_report(pack(_items(spark, sf_dir), kinds, segment_tokens=1, loss_share=1.0), kinds)
 
 
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +154,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(balanced_mix(docs, targets), docs, targets)
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per listed source: whether no document has more copies than allowed, and whether the tokens reached are
+    those of the target share among the sources that hold documents, but for the largest document of each source."""
+    docs, targets = _tokens(spark, sf_dir), _table(spark, sf_dir, "mix_target")
+    r = share_report(checkpointed(balanced_mix(docs, targets)), docs, targets)
+    largest = docs.groupBy(tidy_source(F.col("source")).alias("source")).agg(F.max("tokens").alias("largest"))
+    w = Window.partitionBy()  # a row per listed source
+    live = F.when(F.col("available") > 0, F.col("target_share")).otherwise(0.0)
+    r = r.join(largest, "source", "left").withColumn("goal", live / F.sum(live).over(w) * F.sum("tokens").over(w))
+    off = F.abs(F.col("tokens") - F.col("goal"))
+    return r.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), (off <= F.sum(F.coalesce("largest", F.lit(0))).over(w)).alias("share_reached"))
+
+
 def _document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of all documents by the common words learned from them; the languages are those the documents state."""
     docs = _table(spark, sf_dir, "documents")
@@ -174,7 +195,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_percentiles, p1_rank_check, p1_without_load, p4_found, p4_stands, p7_containers, p7_fill, p7_instruction_fill, p8_selection, p8_shares, p9_found, p9_stats, p9_types, p9_votes,
+            p1_percentiles, p1_rank_check, p1_without_load, p4_found, p4_stands, p7_containers, p7_fill, p7_check, p7_token_fill, p8_selection, p8_shares, p8_check, p9_found, p9_stats, p9_types, p9_votes,
         )
     }
 
@@ -224,6 +245,8 @@ def oracle_sql() -> dict[str, str]:
 ), e AS (SELECT cluster_key, regime, count(*) AS n FROM m WHERE regime IS NOT NULL GROUP BY ALL
 ), ee AS (SELECT cluster_key, arg_min(regime, (-n, regime)) AS stored_regime, max(n) AS regime_members FROM e GROUP BY cluster_key)
 SELECT cluster_key, size, dense_members, cells, typical, dominant_species, dominant_share, stored_cluster, stored_members, stored_regime, regime_members FROM s LEFT JOIN tt USING (cluster_key) LEFT JOIN kk USING (cluster_key) LEFT JOIN oo USING (cluster_key) LEFT JOIN ee USING (cluster_key)""",
+        "p7_check": "SELECT CAST(kind_id AS BIGINT) AS kind_id, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, TRUE AS whole, TRUE AS within, TRUE AS \"full\" FROM container_kind",
+        "p8_check": r"SELECT regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS source, TRUE AS repeats_kept, TRUE AS share_reached FROM mix_target",
         "p9_stats": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\s\x0b\x1c-\x1f\x85\xa0]+'), lambda x: x <> '') AS w,
          list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\s\x0b\x85\xa0]+$', '')), lambda x: x <> '') AS l FROM d)

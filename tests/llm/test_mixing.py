@@ -45,6 +45,19 @@ def test_mix(spark):
     assert abs(sum(r.tokens for r in fixed.values()) - 100_000) < 3 * max(t for *_, t, _ in data)
 
 
+def test_many_sources_and_small_blocks(spark):
+    """Each source lands by itself, however many others are still open."""
+    rng = np.random.default_rng(6)
+    data = [(i, f"s{i % 40}", int(rng.lognormal(4, 0.7)) + 1, "z") for i in range(4000)]
+    docs = spark.createDataFrame(data, DOCS)
+    weights = rng.uniform(1, 3, 40)
+    targets = spark.createDataFrame([(f"s{k}", float(w / weights.sum()), 2) for k, w in enumerate(weights)], TARGETS)
+    report = share_report(balanced_mix(docs, targets, block=8), docs, targets).collect()
+    total, largest = sum(r.tokens for r in report), max(t for *_, t, _ in data)
+    assert all(abs(r.tokens - r.target_share * total) <= 2.5 * largest and r.most_copies <= 2 for r in report)
+    assert balanced_mix(spark.createDataFrame([(i, f"s{i}", 10, "z") for i in range(300)], DOCS), spark.createDataFrame([(f"s{i}", 1 / 300, 1) for i in range(300)], TARGETS), total=1500.0, block=8).count() > 0
+
+
 def test_empty(spark):
     docs, targets = spark.createDataFrame([], DOCS), spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     assert balanced_mix(docs, targets).count() == 0
