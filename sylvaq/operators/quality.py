@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaq.operators.ordered import prefix_counts, quantile_of
+from sylvaq.scratch import checkpointed
 
 # the end of the text, not the place before a last line break
 NUMBER = r"^-?[0-9]+(\.[0-9]+)?\z"
@@ -107,6 +108,22 @@ def profile_loads(df: DataFrame, load: str, rules: list[Rule], partitions: int |
     )
 
 
+def malformed_texts(df: DataFrame, load: str, rules: list[Rule]) -> DataFrame:
+    """(load, column_name, malformed_distinct, top_malformed, top_malformed_count): the spellings of malformed
+    values per load and text column (equally frequent ones: the first in order). Cells without any do not come out.
+
+    Equal spellings are counted together before the shuffle; a load may have any number of them.
+    """
+    text = [r for r in rules if dict(df.dtypes)[r.column] == "string"]
+    cells = [F.when(_cell(df, r)["kind"] == 1, F.struct(F.lit(r.column).alias("column_name"), F.col(f"`{r.column}`").alias("text"))) for r in text]
+    none = F.array().cast("array<struct<column_name: string, text: string>>")
+    long = df.select(F.col(f"`{load}`").alias("load"), F.explode(F.array_compact(F.array(*cells)) if cells else none).alias("c"))
+    counted = long.groupBy("load", "c.column_name", "c.text").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("load", "column_name").agg(
+        F.count(F.lit(1)).alias("malformed_distinct"), F.min_by("text", F.struct((-F.col("n")).alias("n"), F.col("text"))).alias("top_malformed"), F.max("n").alias("top_malformed_count")
+    )
+
+
 def _share(part: str, whole: Column) -> Column:
     return F.try_divide(F.col(part).cast("double"), whole.cast("double"))
 
@@ -143,8 +160,8 @@ def findings(profile: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def load_distances(df: DataFrame, load: str, rules: list[Rule], partitions: int | None = None) -> DataFrame:
-    """(column_name, load_a, load_b, n_a, n_b, ks): exact Kolmogorov-Smirnov distance
-    of the numbers in bounds between each load and the next one that has any.
+    """(column_name, load_a, load_b, n_a, n_b, ks): exact Kolmogorov-Smirnov distance of the numbers in bounds
+    between each load and the next one that has any. Empty tables and columns with one load give no rows.
 
     Every counted value joins the merged curve of its two pairs, once as the
     earlier and once as the later load; one range sort by (column, pair, value)
@@ -167,3 +184,22 @@ def load_distances(df: DataFrame, load: str, rules: list[Rule], partitions: int
     curve = prefix_counts(merged, ["column_name", "load_a", "load_b"], "value", ["a", "b"], partitions)
     gap = F.abs(F.col("a_upto") / F.col("a_all") - F.col("b_upto") / F.col("b_all"))
     return curve.groupBy("column_name", "load_a", "load_b").agg(F.max("a_all").alias("n_a"), F.max("b_all").alias("n_b"), F.max(gap).alias("ks"))
+
+
+def pooled_distances(df: DataFrame, load: str, rules: list[Rule], partitions: int | None = None) -> DataFrame:
+    """(column_name, load, n, n_others, ks): the same distance between each load and all other loads together.
+
+    Between two values of a load its own curve is flat and that of the others only
+    rises, so their largest gap lies at a value of the load or just before it. The
+    curve of the others is that of all loads less its own: one range sort by
+    (column, value), one by (column, load, value), joined on the value, no row
+    repeated. Loads without numbers in bounds, and a single load, do not come out.
+    """
+    counted = checkpointed(value_counts(df, load, rules).where((F.col("kind") == 3) & F.col("load").isNotNull()).select("column_name", "load", "value", "cnt"))
+    every = prefix_counts(counted.groupBy("column_name", "value").agg(F.sum("cnt").alias("t")), ["column_name"], "value", ["t"], partitions)
+    both = prefix_counts(counted, ["column_name", "load"], "value", ["cnt"], partitions).join(every, ["column_name", "value"])
+    n, others = F.col("cnt_all"), F.col("t_all") - F.col("cnt_all")
+    at = F.abs(F.col("cnt_upto") / n - F.try_divide(F.col("t_upto") - F.col("cnt_upto"), others))
+    low, low_all = F.col("cnt_upto") - F.col("cnt"), F.col("t_upto") - F.col("t")
+    before = F.abs(low / n - F.try_divide(low_all - low, others))
+    return both.where(others > 0).groupBy("column_name", "load").agg(F.max("cnt_all").alias("n"), F.max(others).alias("n_others"), F.max(F.greatest(at, before)).alias("ks"))

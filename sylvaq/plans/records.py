@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylvaq.operators.fields import split_values
 from sylvaq.operators.near import counts_within, located_points, pairs_within
-from sylvaq.operators.quality import Rule, findings, load_distances, profile_loads
+from sylvaq.operators.quality import Rule, findings, load_distances, malformed_texts, pooled_distances, profile_loads
 from sylvaq.operators.spikes import Rules, implausible_readings, judged_readings
 from sylvaq.sources.tables import table
 
@@ -64,15 +64,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile_loads(table(spark, sf_dir, CARBON), "load_id", RULES)
+    carbon = table(spark, sf_dir, CARBON)
+    p = profile_loads(carbon, "load_id", RULES)
+    texts = malformed_texts(carbon, "load_id", RULES).withColumnsRenamed({"load": "l", "column_name": "c"})
+    p = p.join(texts, F.col("load").eqNullSafe(F.col("l")) & (F.col("column_name") == F.col("c")), "left")
     exact = [F.round(c, 6).alias(c) for c in ("min_value", "max_value", "q1", "median", "q3", "top_value")]
-    return p.select(F.col("load").alias("load_id"), "column_name", "rows", "missing", "malformed", "numbers", "out_of_bounds", "distinct_values", *exact, "top_count")
+    spelt = [F.coalesce(c, F.lit(0)).alias(c) for c in ("malformed_distinct", "top_malformed_count")]
+    return p.select(F.col("load").alias("load_id"), "column_name", "rows", "missing", "malformed", "numbers", "out_of_bounds", "distinct_values", *exact, "top_count", *spelt, "top_malformed")
 
 
 def p6_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between each load and the next one."""
     d = load_distances(table(spark, sf_dir, CARBON), "load_id", RULES)
     return d.select("column_name", "load_a", "load_b", "n_a", "n_b", F.round("ks", 6).alias("ks"))
 
 
+def p6_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between each load and all others."""
+    d = pooled_distances(table(spark, sf_dir, CARBON), "load_id", RULES)
+    return d.select("column_name", F.col("load").alias("load_id"), "n", "n_others", F.round("ks", 6).alias("ks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_value_counts, p3_found, p3_density25, p5_found, p5_reasons, p5_rolling, p6_found, p6_profile, p6_distance)}
+    return {f.__name__: f for f in (p2_found, p2_value_counts, p3_found, p3_density25, p5_found, p5_reasons, p5_rolling, p6_found, p6_profile, p6_distance, p6_drift)}

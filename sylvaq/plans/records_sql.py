@@ -54,7 +54,7 @@ cells AS (
          CASE WHEN c.column_name = 'Mono_Rate' AND NOT isnan(Mono_Rate) THEN Mono_Rate END AS m
   FROM {_CARBON}, (VALUES ('lightemiss', 0, 500), ('ra15_17', 0, 9000), ('LST_1516', -10, 60), ('Mono_Rate', 0, 1)) c(column_name, lo, hi)
 ), num AS (
-  SELECT load_id, column_name, (m IS NULL AND (t IS NULL OR regexp_full_match(t, ' *'))) AS gone, lo, hi,
+  SELECT load_id, column_name, t, (m IS NULL AND (t IS NULL OR regexp_full_match(t, ' *'))) AS gone, lo, hi,
          CASE WHEN column_name = 'Mono_Rate' THEN m WHEN regexp_full_match(t, '-?[0-9]+(\\.[0-9]+)?') THEN CAST(t AS DOUBLE) END AS v
   FROM cells
 ), kept AS (SELECT *, CASE WHEN v BETWEEN lo AND hi THEN v END AS inside FROM num
@@ -88,7 +88,15 @@ SELECT item AS tree_id, field, round(med, 6) AS med, round(mad, 6) AS mad FROM d
 SELECT load_id, column_name, unnest(list_filter([CASE WHEN m - um >= 0.15 THEN 'missing' END, CASE WHEN p - up >= 0.05 THEN 'pattern' END, CASE WHEN r - ur >= 0.05 THEN 'range' END,
   CASE WHEN abs(median - umed) > 0.5 * us THEN 'shift' END, CASE WHEN k >= 0.4 THEN 'constant' END], lambda x: x IS NOT NULL)) AS finding FROM u JOIN usual USING (column_name)""",
         "p6_profile": f"""WITH {_CELLS} SELECT load_id, column_name, rows, missing, malformed, numbers, out_of_bounds, distinct_values, round(min_value, 6) AS min_value, round(max_value, 6) AS max_value,
-  round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(top_value, 6) AS top_value, top_count FROM profile""",
+  round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(top_value, 6) AS top_value, top_count, coalesce(malformed_distinct, 0) AS malformed_distinct, coalesce(top_malformed_count, 0) AS top_malformed_count, top_malformed FROM profile LEFT JOIN (
+  SELECT load_id, column_name, count(*) AS malformed_distinct, arg_min(t, (-k, t)) AS top_malformed, max(k) AS top_malformed_count FROM (SELECT load_id, column_name, t, count(*) AS k FROM kept WHERE NOT gone AND v IS NULL GROUP BY ALL) GROUP BY ALL
+) USING (load_id, column_name)""",
+        "p6_drift": f"""WITH {_CELLS}, base AS (SELECT DISTINCT column_name, load_id FROM kept WHERE inside IS NOT NULL
+), side AS (SELECT b.column_name, b.load_id, inside AS v, CAST(k.load_id = b.load_id AS INTEGER) AS a FROM kept k JOIN base b ON k.column_name = b.column_name WHERE inside IS NOT NULL
+), curve AS (
+  SELECT column_name, load_id, sum(a) OVER w AS ca, sum(1 - a) OVER w AS cb, sum(a) OVER g AS na, sum(1 - a) OVER g AS nb FROM side
+  WINDOW w AS (PARTITION BY column_name, load_id ORDER BY v), g AS (PARTITION BY column_name, load_id))
+SELECT column_name, load_id, CAST(max(na) AS BIGINT) AS n, CAST(max(nb) AS BIGINT) AS n_others, round(max(abs(ca / na - cb / nb)), 6) AS ks FROM curve GROUP BY ALL""",
         "p6_distance": f"""WITH {_CELLS}, base AS (SELECT DISTINCT column_name, load_id FROM kept WHERE inside IS NOT NULL
 ), pair AS (SELECT column_name, load_id AS load_a, lead(load_id) OVER (PARTITION BY column_name ORDER BY load_id) AS load_b FROM base
 ), side AS (

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from sylvaq.operators.ordered import exact_quantiles, prefix_counts
-from sylvaq.operators.quality import Rule, findings, load_distances, profile_loads
+from sylvaq.operators.quality import Rule, findings, load_distances, malformed_texts, pooled_distances, profile_loads
 
 RULES = [Rule("t", 0, 100), Rule("m", 0, 1)]
 
@@ -77,3 +77,21 @@ def test_distance(spark):
         return np.abs(np.searchsorted(np.sort(x), at, "right") / len(x) - np.searchsorted(np.sort(y), at, "right") / len(y)).max()
 
     assert set(got) == {(1, 2), (2, 5)} and got[1, 2] == pytest.approx(ks(a.clip(0, 100), b.clip(0, 100))) and got[2, 5] == pytest.approx(ks(b.clip(0, 100), c.clip(0, 100)))
+
+
+def test_malformed_spellings_and_drift(spark, rows):
+    data = [(1, "x", 0.5), (1, "y", 0.5), (1, "x", 0.1), (1, "4", 0.9), (None, "b", None), (None, "a", float("nan")), (2, "7", 0.5), (2, None, 0.5), (2, " ", 7.0)]
+    df = frame(spark, [(*r, "z", 1.0) for r in data])
+    assert rows(malformed_texts(df, "ld", RULES)) == sorted([(1, "t", 2, "x", 2), (None, "t", 2, "a", 1)], key=repr)
+    assert malformed_texts(df.limit(0), "ld", RULES).count() == 0 and malformed_texts(df, "ld", RULES[1:]).count() == 0
+    rng = np.random.default_rng(2)
+    loads = {k: np.round(np.clip(rng.normal(0.5 + 0.05 * k, 0.1, 80 + 40 * k), 0, 1), 2) for k in range(4)}
+    d = spark.createDataFrame([(k, float(v)) for k, vs in loads.items() for v in vs] + [(9, None), (None, 0.5)], "ld int, m double")
+    got = {r.load: r for r in pooled_distances(d, "ld", RULES[1:], 3).collect()}
+    assert set(got) == set(loads)
+    for k, own in loads.items():
+        rest = np.concatenate([v for o, v in loads.items() if o != k])
+        at = np.unique(np.concatenate([own, rest]))
+        gap = np.abs(np.searchsorted(np.sort(own), at, "right") / len(own) - np.searchsorted(np.sort(rest), at, "right") / len(rest)).max()
+        assert np.isclose(got[k].ks, gap) and (got[k].n, got[k].n_others) == (len(own), len(rest))
+    assert pooled_distances(d.where("ld = 1"), "ld", RULES[1:]).count() == 0
