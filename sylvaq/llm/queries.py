@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvaq.llm.clusters import density_clusters, describe_clusters
 from sylvaq.llm.mixing import balanced_mix, share_report, tidy_source
 from sylvaq.llm.packing import fill_report, pack, pack_check
-from sylvaq.llm.sketch import RANK_ERROR, Sketch, build_sketches, merge_sketches, quantiles
+from sylvaq.llm.sketch import RANK_ERROR, SPARSE, Sketch, build_sketches, merge_sketches, quantiles
 from sylvaq.llm.textstats import common_words, document_stats, text_types, vote_report
 from sylvaq.llm.tokens import token_counts
 from sylvaq.plans.records import DENSE, RADIUS, located_trees
@@ -31,9 +32,9 @@ def _carbon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "tree_carbon_updated7_spatial")
 
 
-def _load_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _load_sketches(spark: SparkSession, sf_dir: str, sparse: int = SPARSE) -> DataFrame:
     """One sketch per species, load and field, written once; everything else comes from these."""
-    parts = build_sketches(_carbon(spark, sf_dir), ["Species", "load_id"], FIELDS, LOW)
+    parts = build_sketches(_carbon(spark, sf_dir), ["Species", "load_id"], FIELDS, LOW, sparse)
     return checkpointed(merge_sketches(parts, ["Species", "load_id"]))
 
 
@@ -50,8 +51,11 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The percentiles held against the exact ranks of all values: whether each lies within the stated error."""
-    p = checkpointed(_percentiles(_load_sketches(spark, sf_dir)))
+    """The percentiles held against the exact ranks of all values: whether each lies within the stated error.
+
+    All but the smallest parts are shipped and merged as counters here, not as counts of codes.
+    """
+    p = checkpointed(_percentiles(_load_sketches(spark, sf_dir, sparse=64)))
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in FIELDS])).alias("c")
     values = _carbon(spark, sf_dir).select(F.col("Species").alias("s"), F.col("load_id").alias("l"), cells).select("s", "l", F.col("c.field").alias("f"), F.col("c.v").alias("v"))
     values = values.where(~F.isnan("v") & (F.col("v") >= LOW) & (F.col("v") < float("inf")))
@@ -72,18 +76,22 @@ def p1_without_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     every, rest, gone = merge_sketches(per, ["Species"]), merge_sketches(per.where(F.col("load_id") != F.lit(last)), ["Species"]), per.where(F.col("load_id") == F.lit(last))
     name = lambda d, n: d.select("Species", "field", F.col("sketch").alias(n))
 
-    @F.udf("struct<n: bigint, same: boolean>")
-    def less(a: bytes, b: bytes, c: bytes):
-        x = Sketch.from_bytes(a).densify()
-        if b is not None:
-            x.merge(Sketch.from_bytes(b), -1)
-        y = (Sketch.from_bytes(c) if c is not None else Sketch()).densify()
-        return x.n, bool((x.top == y.top).all() and (x.cells == y.cells).all())
+    def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, same = [], []
+            for a, b, c in zip(*(batch.column(x).to_pylist() for x in "abc")):
+                x = Sketch.from_bytes(a).densify()
+                if b is not None:
+                    x.merge(Sketch.from_bytes(b), -1)
+                y = (Sketch.from_bytes(c) if c is not None else Sketch()).densify()
+                n.append(x.n)
+                same.append(bool((x.top == y.top).all() and (x.cells == y.cells).all()))
+            yield pa.RecordBatch.from_arrays([batch.column("Species"), batch.column("field"), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], names=["Species", "field", "n", "same"])
 
     key = lambda d: F.concat_ws("/", F.coalesce(d["Species"].cast("string"), F.lit("-")), d["field"])
     a, b, c = (name(d, n).withColumn("k", key(d)) for d, n in ((every, "a"), (gone, "b"), (rest, "c")))
     joined = a.join(b.select("k", "b"), "k", "left").join(c.select("k", "c"), "k", "left")
-    return joined.select("Species", "field", less("a", "b", "c").alias("r")).select("Species", "field", "r.n", "r.same")
+    return joined.select("Species", "field", "a", "b", "c").mapInArrow(less, f"Species {per.schema['Species'].dataType.simpleString()}, field string, n bigint, same boolean")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS, EXACT, ROWS, WIDTH = 32, 11, 5, 1024
-#: Stated bound of the rank error as a share of the count. The standard deviation of a
+#: Stated bound of the rank error as a share of the count, beyond the values that share a cell
+#: with the answer (a code's cell is 2**-20 of its value wide; values closer than that are one). The standard deviation of a
 #: descent is at most about sqrt(sketched levels) / WIDTH * 0.56 = 0.0025 in the worst
 #: case (as many equally heavy values as counters at every level), a quarter of it.
 RANK_ERROR = 0.01
@@ -94,7 +95,8 @@ def _together(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 class Sketch:
     """A dyadic Count-sketch of one group of values."""
 
-    def __init__(self) -> None:
+    def __init__(self, sparse: int = SPARSE) -> None:
+        self.sparse = sparse
         self.codes, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64)
         self.top: np.ndarray | None = None
         self.cells: np.ndarray | None = None
@@ -108,7 +110,7 @@ class Sketch:
         if self.top is None:
             c, k = _together(np.concatenate([self.codes, codes]), np.concatenate([self.counts, counts]))
             self.codes, self.counts = c[k != 0], k[k != 0]
-            if len(self.codes) > SPARSE:
+            if len(self.codes) > self.sparse:
                 self.densify()
         else:
             self._update(*_together(codes, counts))
@@ -202,13 +204,14 @@ def _sketch_schema(df: DataFrame, group: list[str]) -> T.StructType:
 HELD = 8_000_000
 
 
-def build_sketches(df: DataFrame, group: list[str], values: list[str], low: float = float("-inf")) -> DataFrame:
+def build_sketches(df: DataFrame, group: list[str], values: list[str], low: float = float("-inf"), sparse: int = SPARSE) -> DataFrame:
     """(group, field, n, sketch): partial sketches, one or more per group and field.
 
     One narrow pass: each task sketches its own rows, so what leaves it is at most
     the smaller of its distinct values and its counters. Counted are finite values
     of at least ``low``; NULL, NaN and infinities are not. NULL group members form
-    a group of their own. Groups without a counted value do not come out.
+    a group of their own. Groups without a counted value do not come out. A part of
+    more than ``sparse`` distinct codes is shipped as counters.
     """
     schema = _sketch_schema(df, group)
     narrow = df.select(*[F.col(f"`{g}`") for g in group], *[F.col(f"`{v}`").cast("double").alias(f"__v{i}") for i, v in enumerate(values)])
@@ -250,7 +253,7 @@ def build_sketches(df: DataFrame, group: list[str], values: list[str], low: floa
                         key.append(names[g % size])
                         g //= size
                     key = (*reversed(key), j)
-                    held.setdefault(key, Sketch()).add((both[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[s:e])
+                    held.setdefault(key, Sketch(sparse)).add((both[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[s:e])
             if sum(len(x.codes) if x.top is None else DEPTHS * ROWS * WIDTH for x in held.values()) > HELD:
                 yield flush()
         if held:
@@ -294,7 +297,7 @@ def merge_sketches(sketches: DataFrame, group: list[str], salts: int = 32) -> Da
 
 
 def quantiles(sketches: DataFrame, group: list[str], probs: list[float]) -> DataFrame:
-    """(group, field, n, prob, value): the percentiles of every sketch, within RANK_ERROR of the rank."""
+    """(group, field, n, prob, value): the percentiles of every sketch, within RANK_ERROR of the rank, up to the width of a code's cell."""
     fields = [f for f in _sketch_schema(sketches, group).fields if f.name != "sketch"]
     schema = T.StructType([*fields, T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())])
     p = np.array(probs)
