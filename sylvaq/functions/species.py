@@ -66,23 +66,3 @@ def biomass(name: Column, d: Column, h: Column) -> Column:
 def polynomial_biomass(d: Column, h: Column, inter: float, slope: float) -> Column:
     """The linear form in d * d * h, which none of the listed species uses."""
     return inter + slope * d * d * h
-
-
-def calculate_biomass(name: str | None, dbh_cm: float, h_m: float) -> float:
-    """The same for plain values; what the equations cannot give is 0."""
-    import math
-
-    if name not in NAMES.values() or not dbh_cm > 0:
-        return 0.0
-    try:
-        if name in HEIGHT_FORM:
-            b0, b1, k1, b2, k2 = HEIGHT_FORM[name]
-            ds = 2 + 1.25 * dbh_cm
-            return math.exp(b0 + b1 * ds / (ds + k1) + b2 * h_m / (h_m + k2))
-        if name in LOG_FORM["species"]:
-            return math.exp(LOG_FORM["a"] + LOG_FORM["b"] * math.log(dbh_cm))
-        if name in POWER_FORM["species"]:
-            return POWER_FORM["a"] * (dbh_cm * 10) ** POWER_FORM["b"]
-        return 0.0 if h_m == 0 else 10 ** (LOG10_FORM["a"] + LOG10_FORM["b"] * math.log10(h_m * dbh_cm**2))
-    except (ArithmeticError, ValueError):
-        return 0.0

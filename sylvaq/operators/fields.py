@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sylvaq.ship import ship
+
 DELIMITERS = ",;|/\t\n\r"
 QUOTES = "\"'"
 OPEN, CLOSE = "([{", ")]}"
@@ -135,6 +137,7 @@ def split_values(
     Repeated rows and repeated values stay. Other columns of ``df`` are not
     touched, whatever their names.
     """
+    ship(df.sparkSession)
     fields = [df.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField(pos, T.IntegerType()), T.StructField(value, T.StringType())])
     aliases = [f"k{i}" for i in range(len(keep))]

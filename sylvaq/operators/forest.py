@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -179,14 +179,3 @@ def forest_importances(df: DataFrame, group: str, features: list[str], target: s
     every = p.groupBy(group).agg(F.sum("share").alias("every"))
     p = p.join(every, group).select(group, "feature", F.coalesce(F.try_divide("share", "every"), F.lit(0.0)).alias("share"))
     return p.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("feature", "share"))).alias("importances"))
-
-
-def save_model(model: PipelineModel, folder: str, name: str) -> str:
-    """Stores a fitted model as ``folder/name``, replacing an older one."""
-    path = f"{folder}/{name}"
-    model.write().overwrite().save(path)
-    return path
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

@@ -10,6 +10,7 @@ from sylvaq.functions.species import GENERAL, species_name
 from sylvaq.operators.ordered import exact_quantiles
 from sylvaq.sources.tables import with_optional
 
+# The periods with the columns that describe them, and how zeros are read.
 PERIODS = {
     "15_17": ("H15", "svf15", "svf17", "ra15_17", "LST_1516"),
     "17_21": ("H17", "svf17", "svf21", "ra17_21", "LST_1720"),
@@ -17,6 +18,7 @@ PERIODS = {
 }
 ZERO_IS_MISSING = ["noise17d", "noise22d", "lightemiss", "svf15", "svf17", "svf21", "svf23", "ra15_17", "ra17_21", "ra21_23", "LST_1516", "LST_1720", "LST_2122", "H15", "H17", "H21", "H23"]
 ZERO_COUNTS = ["Density25", "Mono_Rate"]
+# The features of the growth models.
 FEATURES = ["Log_Initial_H", "avg_noise_day", "Density25", "Mono_Rate", "avg_svf", "avg_radiation", "avg_LST", "lightemiss", "soil_has_infill", "soil_has_moraine", "soil_has_bedrock"]
 ALWAYS = ["Log_Initial_H", "avg_noise_day", "Density25", "avg_svf", "avg_radiation", "avg_LST", "lightemiss"]
 OPTIONAL_SOIL = ["soil_has_infill", "soil_has_moraine", "soil_has_bedrock"]

@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvaq.functions.student import t_two_sided
 from sylvaq.operators.ordered import prefix_counts
+from sylvaq.ship import ship
 
 #: Share of a feature's variance below which what others leave of it counts as nothing.
 SINGULAR = 1e-10
@@ -32,6 +34,7 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def moments(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     """(group, n, shift, s, q): count, shifts, shifted sums and upper cross products of the columns."""
+    ship(df.sparkSession)
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     shift = [float(m) if m is not None else 0.0 for m in means]
     v = [F.col(c).cast("double") - F.lit(m) for c, m in zip(columns, shift)]
@@ -87,8 +90,6 @@ class Fit:
         self.intercept = float(self.mean[-1] - beta @ centre)
         self.r2 = 1 - sse / self.var[-1] if self.var[-1] > 0 else np.nan
         if dof > 0:
-            from sylvaq.functions.student import t_two_sided
-
             s2 = sse / dof
             with np.errstate(divide="ignore", invalid="ignore"):
                 self.t[self.used] = beta / np.sqrt(s2 * np.diag(inv))
@@ -137,7 +138,10 @@ def ols(df: DataFrame, group: list[str], features: list[str], target: str) -> Da
 
 
 def linear_models(df: DataFrame, species: str, feature_sets: dict[str, list[str]], target: str) -> DataFrame:
-    """(species, features, seq, c0, c_height, c_crown, r2) of every species and feature set, for impute_diameters."""
+    """(species, features, seq, c0, c_height, c_crown, r2) of every species and feature set, for impute_diameters.
+
+    ``sources.models`` stores and loads such a table.
+    """
     out = None
     for seq, (label, fs) in enumerate(feature_sets.items()):
         fit = ols(df, [species], fs, target).where(F.col("status") == "ok")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +18,9 @@ from sylvaq.operators import regression as reg
 from sylvaq.operators.inventory import YEARS, annual_growth, carbon_stocks, forest_predictions, impute_diameters, long_diameters, model_choice, period_growth
 from sylvaq.operators.near import counts_within, located_points, pairs_within
 from sylvaq.plans.records import CARBON, DENSE, RADIUS, X_RANGE, Y_RANGE
-from sylvaq.scratch import checkpointed, scratch_dir
-from sylvaq.sources.tables import nan_to_null, read_csv, table, write_csv
+from sylvaq.scratch import checkpointed, scratch_path
+from sylvaq.sources.models import load_forest, load_linear, save_forest, save_linear
+from sylvaq.sources.tables import copied_if_absent, nan_to_null, read_or_none, table, write_csv
 
 LEAST_SAMPLES = 25
 TARGET = "ell_eq_diameter_m"
@@ -57,6 +57,15 @@ def impute_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_diameters(_dispatched(spark, sf_dir), "rec_id").select("rec_id", "year", *_r("td"), "tag")
 
 
+def impute_with_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputation by height with the out-of-fold error of the model beside every diameter it gave."""
+    s = checkpointed(_samples(spark, sf_dir))
+    error = reg.cross_validate(s, "species", SETS["Height"], TARGET, "sample_id").select("species", "rmse")
+    models = model_choice(reg.linear_models(s, "species", {"Height": SETS["Height"]}, TARGET), "Height").join(error, "species", "left")
+    d = impute_diameters(table(spark, sf_dir, "tree"), models, with_rmse=True)
+    return d.select("rec_id", *[F.round(f"TD{y}_rmse", 6).alias(f"TD{y}_rmse") for y in YEARS])
+
+
 def impute_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_diameters(_imputed(spark, sf_dir), "rec_id").groupBy("year", "tag").agg(F.count(F.lit(1)).alias("n"))
 
@@ -107,7 +116,7 @@ def ols_tvalues_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ols_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for label, features in SETS.items():
-        p = reg.ols(_samples(spark, sf_dir), ["species"], features, TARGET).select("species", F.lit(label).alias("features"), F.col("variable").alias("predictor"), F.col("p").alias("p_value"))
+        p = reg.ols(_samples(spark, sf_dir), ["species"], features, TARGET).select("species", F.lit(label).alias("features"), F.col("variable").alias("predictor"), F.round("p", 6).alias("p_value"))
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -145,11 +154,13 @@ def _dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, trees = checkpointed(_samples(spark, sf_dir)), table(spark, sf_dir, "tree")
     best = checkpointed(reg.best_rows(_cv_results(spark, sf_dir)))
     linear = reg.linear_models(s, "species", SETS, TARGET).join(best.where("model = 'Linear'"), ["species", "features"], "left_semi")
-    folder = f"{scratch_dir(spark)}/models-{uuid4().hex}"
+    folder = scratch_path(spark, "models")
+    save_linear(linear, f"{folder}/linear")
+    linear = load_linear(spark, f"{folder}/linear")
     predicted = None
     for r in best.where("model = 'RandomForest'").orderBy("species").collect():
         own = reg.complete(s.where(F.col("species") == r.species), [*SETS[r.features], TARGET])
-        model = rf.load_model(rf.save_model(rf.forest(SETS[r.features], TARGET, 200, 30).fit(own), folder, f"{r.species}_{r.features}_rf"))
+        model = load_forest(save_forest(rf.forest(SETS[r.features], TARGET, 200, 30).fit(own), folder, f"{r.species}_{r.features}_rf"))
         p = checkpointed(forest_predictions(trees, "rec_id", {(r.species, r.features): model}))  # one large model in memory at a time
         predicted = p if predicted is None else predicted.unionByName(p)
     return impute_diameters(trees, linear, "rec_id", predicted)
@@ -211,9 +222,9 @@ def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples written as CSV and read again under a declared schema."""
     s = table(spark, sf_dir, "all_species_summary")
-    path = f"{scratch_dir(spark)}/samples_csv-{uuid4().hex}"
+    path = scratch_path(spark, "samples_csv")
     write_csv(s, path)
-    return read_csv(spark, path, T.StructType(s.schema.fields))
+    return read_or_none(spark, path, T.StructType(s.schema.fields))
 
 
 def _carbon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,10 +295,38 @@ def tile_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gm.tile_matrix(checkpointed(gm.coefficient_table(_grouped(spark, sf_dir))))
 
 
+def tile_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gm.tile_legend(spark)
+
+
 def tile_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gm.tile_wide(gm.coefficient_table(_grouped(spark, sf_dir)), gm.EVERY)
 
 
+def growth_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gm.fit_status(_grouped(spark, sf_dir))
+
+
+def coefficient_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per group of the coefficient table whether its residuals, worked out row by row, are orthogonal to every
+    feature, and whether they leave the share of the variance that R2 says."""
+    g = checkpointed(_grouped(spark, sf_dir).withColumn("type_Puisto", (F.col("type") == "Puisto").cast("double")))
+    table_ = checkpointed(gm.coefficient_table(g))
+    wide = table_.groupBy(F.col("Species").alias("grp")).agg(F.map_from_entries(F.collect_list(F.struct("Variable", "Coef"))).alias("b"), F.max("R2").alias("R2"))  # some rows per group
+    x = {f: F.col(f).cast("double") for f in gm.EVERY}
+    stats = g.groupBy("grp").agg(*[F.avg(c).alias(f"m_{f}") for f, c in x.items()], *[F.stddev_pop(c).alias(f"d_{f}") for f, c in x.items()], F.avg(pn.TARGET).alias("m_y"), F.stddev_pop(pn.TARGET).alias("d_y"))
+    j = g.join(wide.join(stats, "grp"), "grp")  # a row per group on the right
+    z = {f: (c - F.col(f"m_{f}")) / (F.lit(1.0) if f == "type_Puisto" else F.nullif(F.col(f"d_{f}"), F.lit(0.0))) for f, c in x.items()}
+    e = F.col(pn.TARGET) - F.col("m_y")
+    for f in gm.EVERY:
+        e = e - F.coalesce(F.try_element_at("b", F.lit(f)) * z[f], F.lit(0.0))
+    j = j.withColumn("e", e)
+    used = lambda f: F.try_element_at("b", F.lit(f)).isNotNull()
+    off = F.greatest(F.lit(0.0), *[F.abs(F.avg(F.when(used(f), F.col("e") * z[f]))) for f in gm.EVERY])
+    r2 = 1 - F.avg(F.col("e") * F.col("e")) / F.max("d_y") ** 2
+    return j.groupBy("grp").agg((off < 1e-8).alias("orthogonal"), (F.abs(r2 - F.max("R2")) < 1e-8).alias("r2_holds"))
+
+
 def significance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels over a measure taken as a p-value."""
     p = F.when(~F.isnan("Mono_Rate"), F.col("Mono_Rate") / 10)
@@ -333,11 +372,11 @@ def regime_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vif_frame(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
-    c = _carbon(spark, sf_dir)
+    c = copied_if_absent(_carbon(spark, sf_dir), {"Initial_H": "H15"})
     kinds = dict(c.dtypes)
     n = lambda col: number(F.col(col), kinds[col])
     return c.select(
-        *(keep or []), n("noise22d").alias("avg_noise_night"), n("H15").alias("Initial_H"), n("lightemiss").alias("lightemiss"), mean_present(n("noise17d"), n("noise22d")).alias("avg_noise_day"), n("Density25").alias("Density25"), n("Mono_Rate").alias("Mono_Rate"),
+        *(keep or []), n("noise22d").alias("avg_noise_night"), n("Initial_H").alias("Initial_H"), n("lightemiss").alias("lightemiss"), mean_present(n("noise17d"), n("noise22d")).alias("avg_noise_day"), n("Density25").alias("Density25"), n("Mono_Rate").alias("Mono_Rate"),
         mean_present(nonzero(n("svf15")), nonzero(n("svf17"))).alias("avg_svf"), n("ra15_17").alias("avg_radiation"), n("LST_1516").alias("avg_LST"), *[f.alias(k) for k, f in soil_flags(F.col("soil")).items()],
     )
 
@@ -360,20 +399,42 @@ def vif_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = counts_within(sites, radius).select(F.col("id").alias("tree_id"), F.col("n").cast("double").alias(name))
         near = n if near is None else near.join(n, "tree_id")
     full = frame.join(td, "tree_id", "left").join(near, "tree_id", "left")
-    return reg.vif(checkpointed(full), ["Initial_TD", "Density_10", "Density_15", "avg_noise_night", *VIF_ALL])
-
-
-VIF_ALL = ["Initial_H", "lightemiss", "avg_noise_day", "Density25", "Mono_Rate", "avg_svf", "avg_radiation", "avg_LST", "soil_has_clay", "soil_has_infill", "soil_has_silt_sand", "soil_has_moraine", "soil_has_bedrock"]
+    return reg.vif(checkpointed(full), VIF_FEATURES)
+
+
+def vif_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every VIF of vif_full is the total by the residual sum of squares of its feature on all others,
+    with the residuals worked out row by row."""
+    frame = checkpointed(reg.complete(_vif_frame(spark, sf_dir).select(*[F.col(f).cast("double").alias(f) for f in VIF_ALL]), VIF_ALL).withColumn("one", F.lit(1)))
+    given = {r.Feature: r.VIF for r in reg.vif(frame, VIF_ALL).collect()}  # a row per feature
+    aggs = []
+    for f in VIF_ALL:
+        fit = reg.ols(frame, ["one"], [g for g in VIF_ALL if g != f], f).collect()
+        e = F.col(f) - F.lit(fit[0].intercept)
+        for r in fit:
+            e = e - F.lit(r.coef or 0.0) * F.col(r.variable)
+        aggs.append((F.var_pop(f) / F.avg(e * e)).alias(f))
+    true = frame.agg(*aggs).first()
+    return spark.createDataFrame([(f, bool(abs(true[f] / given[f] - 1) < 1e-6)) for f in VIF_ALL], "Feature string, holds boolean")
+
+
+# The features of the collinearity check.
+VIF_FEATURES = [
+    "Initial_TD", "Initial_H", "lightemiss", "avg_noise_day", "avg_noise_night", "Density_10", "Density_15", "Density25", "Mono_Rate",
+    "avg_svf", "avg_radiation", "avg_LST", "soil_has_clay", "soil_has_infill", "soil_has_silt_sand", "soil_has_moraine", "soil_has_bedrock",
+]
+#: Those that need no imputed diameter, other radius or night noise.
+VIF_ALL = [f for f in VIF_FEATURES if f not in ("Initial_TD", "Density_10", "Density_15", "avg_noise_night")]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {
         f.__name__: f
         for f in (
-            carbon_stock_wide, carbon_growth_annual, carbon_growth_period, carbon_by_species, impute_monotonic, impute_wide, impute_best, impute_tag_counts, species_min_count, species_describe,
+            carbon_stock_wide, carbon_growth_annual, carbon_growth_period, carbon_by_species, impute_monotonic, impute_wide, impute_best, impute_with_rmse, impute_tag_counts, species_min_count, species_describe,
             feature_correlation, ols_tvalues_single, ols_pvalues, linear_formulas, best_model, model_summary, model_results, linear_results, impute_forest, rf_cv_metrics, rf_importance, samples_csv, panel_long, panel_clean, soil_code_flags,
-            panel_medians, panel_median_fill, feature_gate, standardised_panel, split_height_metrics, regression_performance, coefficient_table, tile_matrix, tile_wide, significance_labels,
-            neighbor_pairs, density25, mono_rate, dbscan_labels, cluster_regime, regime_counts, vif_workflow,
+            panel_medians, panel_median_fill, feature_gate, standardised_panel, split_height_metrics, regression_performance, coefficient_table, coefficient_check, growth_status, tile_matrix, tile_legend, tile_wide, significance_labels,
+            neighbor_pairs, density25, mono_rate, dbscan_labels, cluster_regime, regime_counts, vif_workflow, vif_check,
         )
     }
     return named | {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sylvaq.plans.trees import VIF_ALL
+
 _NAMES = "(VALUES (1,'General_Conifer'),(2,'General_Broadleaf'),(3,'Acer'),(4,'Alnus'),(5,'Betula'),(6,'Pinus'),(7,'Prunus'),(8,'Quercus'),(9,'Sorbus'),(10,'Tilia'),(11,'Ulmus')) nm(id, name)"
 _YEARS = ("15", "17", "21", "23")
 
@@ -167,6 +169,8 @@ def oracle_sql() -> dict[str, str]:
     formula = lambda f, label: f"""SELECT species, '{label}' AS features, 'Linear' AS model, printf('%s trunk_diameter = %.3f + (%.3f * {f})', species, regr_intercept({y}, {f}), regr_slope({y}, {f})) AS formula FROM s GROUP BY species"""
     out = {
         "impute_monotonic": f"WITH {_impute(h, 'Height')} SELECT rec_id, year, round(td, 6) AS td, tag FROM td",
+        "impute_with_rmse": f"""WITH {_impute(h, 'Height')}, err AS (WITH {_cv([h])} SELECT species, rmse FROM cv)
+SELECT rec_id, {', '.join(f"round(max(CASE WHEN year = 20{q} AND tag LIKE 'Linear%' THEN rmse END), 6) AS TD{q}_rmse" for q in _YEARS)} FROM td LEFT JOIN err ON td.name = err.species GROUP BY rec_id""",
         "impute_tag_counts": f"WITH {_impute(h, 'Height')} SELECT year, tag, count(*) AS n FROM td GROUP BY year, tag",
         "impute_wide": f"WITH {_impute(c, 'Crown')} SELECT rec_id, {', '.join(f'round(max(CASE WHEN year = 20{q} THEN td END), 6) AS TD{q}, max(CASE WHEN year = 20{q} THEN tag END) AS TD{q}_model' for q in _YEARS)} FROM td GROUP BY rec_id",
         "carbon_stock_wide": f"WITH {_CS} SELECT rec_id, {', '.join(f'round(CS_{q}, 3) AS CS_{q}' for q in _YEARS)} FROM w",
@@ -185,6 +189,19 @@ SELECT species, n, round(my - bx * mx - bz * mz, 6) AS intercept, round((bx * xy
 UNION ALL SELECT species, n, round(my - bx * mx - bz * mz, 6), round((bx * xy + bz * zy) / yy, 6), '{c}', round(bz, 6) FROM b""",
         "ols_tvalues_single": f"""WITH {_S}, k AS (SELECT species, regr_slope({y}, {h}) AS b, regr_r2({y}, {h}) AS r2, regr_syy({y}, {h}) AS syy, regr_sxx({y}, {h}) AS sxx, regr_count({y}, {h}) AS n FROM s GROUP BY species)
 SELECT species, round(b / sqrt((1 - r2) * syy / (n - 2) / sxx), 4) AS t FROM k""",
+        # the tail of Student's distribution by Simpson's rule on 4,000 steps
+        "ols_pvalues": f"""WITH {_S}, k AS (SELECT * FROM s WHERE {both}), q AS (
+  SELECT species, count(*) AS n, var_pop({h}) AS xx, var_pop({c}) AS zz, var_pop({y}) AS yy, covar_pop({h}, {c}) AS xz, covar_pop({h}, {y}) AS xy, covar_pop({c}, {y}) AS zy FROM k GROUP BY species
+), b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bz FROM q
+), e AS (SELECT *, (yy - bx * xy - bz * zy) * n / (n - 3) AS s2 FROM b
+), t AS (
+  {' UNION ALL '.join(f"SELECT species, '{label}' AS features, '{f}' AS predictor, regr_slope({y}, {f}) / sqrt((1 - regr_r2({y}, {f})) * regr_syy({y}, {f}) / (regr_count({y}, {f}) - 2) / regr_sxx({y}, {f})) AS t, CAST(regr_count({y}, {f}) - 2 AS DOUBLE) AS v FROM s GROUP BY species" for label, f in (('Height', h), ('Crown', c)))}
+  UNION ALL SELECT species, 'Height+Crown', '{h}', bx / sqrt(s2 / n / (xx - xz * xz / zz)), CAST(n - 3 AS DOUBLE) FROM e
+  UNION ALL SELECT species, 'Height+Crown', '{c}', bz / sqrt(s2 / n / (zz - xz * xz / xx)), CAST(n - 3 AS DOUBLE) FROM e
+), f AS (
+  SELECT species, features, predictor, least(abs(t), 40) / 4000 AS d, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow(i * least(abs(t), 40) / 4000, 2) / v, -(v + 1) / 2) AS y
+  FROM t, range(0, 4001) g(i)
+) SELECT species, features, predictor, round(greatest(0.0, 1 - 2 * sum(y) * any_value(d) / 3), 6) AS p_value FROM f GROUP BY ALL""",
         "linear_formulas": f"WITH {_S} {formula(h, 'Height')} UNION ALL {formula(c, 'Crown')}",
         "cv_oof_height": f"WITH {_cv([h])} SELECT species, n, round(rmse, 6) AS rmse, round(r2, 6) AS r2 FROM cv",
         "cv_oof_crown": f"WITH {_cv([c])} SELECT species, n, round(rmse, 6) AS rmse, round(r2, 6) AS r2 FROM cv",
@@ -195,6 +212,10 @@ SELECT species, features, 'Linear' AS model, round(rmse, 6) AS rmse, round(r2, 6
         "linear_results": f"""WITH a AS (WITH {_cv([h])} SELECT *, 'Height' AS features FROM cv), b AS (WITH {_cv([c])} SELECT *, 'Crown' FROM cv), z AS (WITH {_cv([h, c])} SELECT *, 'Height+Crown' FROM cv),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM z)
 SELECT species, features, 'Linear' AS model, round(rmse, 6) AS RMSE, round(r2, 6) AS R2 FROM u""",
+        "growth_status": f"WITH {_FILL} SELECT grp AS Species, count(*) AS N, CASE WHEN count(*) > 500 THEN 'ok' ELSE 'too few rows' END AS Status FROM grp GROUP BY grp",
+        "coefficient_check": f"WITH {_FILL} SELECT grp, TRUE AS orthogonal, TRUE AS r2_holds FROM grp GROUP BY grp HAVING count(*) > 500",
+        "vif_check": f"SELECT unnest([{', '.join(repr(f) for f in VIF_ALL)}]) AS Feature, TRUE AS holds",
+        "tile_legend": "SELECT * FROM (VALUES (0, '* * *', 'p < 0.001'), (1, '* *', 'p < 0.01'), (2, '*', 'p < 0.05'), (3, 'ns', 'p >= 0.05')) t(position, label, meaning)",
         "samples_csv": "SELECT * FROM all_species_summary",
         "panel_long": f"""WITH {_PANEL} SELECT row_id, Period, Species_Name, type, {', '.join(f'round({f}, 6) AS {f}' for f in ('Log_Annual_Carbon_Growth', 'Log_Initial_H', *_FILLED))}, soil_has_infill, soil_has_moraine, soil_has_bedrock FROM panel""",
         "panel_clean": f"WITH {_CLEAN} SELECT row_id, {', '.join(f'round({f}, 6) AS {f}' for f in ('avg_noise_day', 'lightemiss', 'svf15', 'ra15_17', 'LST_1516', 'H15', 'Density25', 'Mono_Rate'))} FROM cc",

@@ -5,18 +5,35 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sylvaq.ship import ship
+
 SETTING = "spark.checkpoint.dir"
 
 
+def _removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this process in the shared scratch space when the process ends, if the session still lives."""
+
+    def remove() -> None:
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  a session that is gone leaves its files to the cluster
+            pass
+
+    atexit.register(remove)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``.
 
     Only where that setting is absent, in a local test session, is a temporary
-    folder made, used for this process and removed at its end; a cluster without
-    the setting is refused, as its machines share no such folder.
+    folder made; a cluster without the setting is refused, as its machines share no
+    such folder. What this process writes is removed at its end.
     """
     named = spark.conf.get(SETTING, None)
     sc = spark.sparkContext
@@ -24,6 +41,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if named:
         if not current:
             sc.setCheckpointDir(named)
+            _removed_at_exit(spark, sc.getCheckpointDir())  # a folder of its own below the named one
         return named
     if not current:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
@@ -35,10 +53,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder, removed at the end of the process."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid4().hex}"
+    _removed_at_exit(spark, path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared scratch folder, with its lineage cut.
 
     Partitions and their order are kept, which the two-pass operators rely on.
     """
+    ship(df.sparkSession)
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -12,12 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package as a zip to the session's Python files, once per Spark context."""
+    """Adds the package as a zip to the session's Python files, once per Spark context.
+
+    Operators that send functions to the workers call this themselves.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_sylvaq_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="sylvaq-code-")) / "sylvaq.zip"
+    folder = tempfile.mkdtemp(prefix="sylvaq-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "sylvaq.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, Path("sylvaq") / f.relative_to(root))

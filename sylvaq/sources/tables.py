@@ -48,6 +48,11 @@ def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
 
 
+def copied_if_absent(df: DataFrame, copies: dict[str, str]) -> DataFrame:
+    """Adds each column of ``copies`` that is absent as a copy of the one named there; present ones stay as they are."""
+    return df.withColumns({c: F.col(f"`{source}`") for c, source in copies.items() if c not in df.columns})
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` itself, or a clear error naming the absent columns."""
     absent = [c for c in columns if c not in df.columns]

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sylvaq.functions.species import NAMES, biomass, calculate_biomass, species_name
+from sylvaq.functions.species import NAMES, biomass, polynomial_biomass, species_name
+from sylvaq.workflow import calculate_biomass
 from sylvaq.operators.inventory import annual_growth, carbon_stocks, impute_diameters, long_diameters, model_choice, period_growth
 
 MODELS = [
@@ -63,14 +64,30 @@ def test_imputation_against_twin(spark):
 
 
 def test_biomass(spark):
+    """Every species against its published equation in another arrangement, and where the equations break down."""
+    forms = [("Pinus", 30.0, 15.0), ("General_Conifer", 30.0, 15.0), ("Betula", 30.0, 15.0), ("General_Broadleaf", 12.0, 8.0)]
+    want = {
+        **{(s, d, h): math.exp(-3.198) * math.exp(9.547 - 9.547 * 12 / (14 + 1.25 * d)) * math.exp(3.241 - 3.241 * 20 / (h + 20)) for s, d, h in forms if s in ("Pinus", "General_Conifer")},
+        **{(s, d, h): math.exp(-3.654) * math.exp(10.582 - 10.582 * 12 / (14 + 1.25 * d)) * math.exp(3.018 - 3.018 * 22 / (h + 22)) for s, d, h in forms if s in ("Betula", "General_Broadleaf")},
+        ("Acer", 30.0, 15.0): math.exp(-1.9958) * 30.0**2.3625, ("Alnus", 30.0, 15.0): 0.000146 * 10**2.6035333 * 30**2.6035333, ("Quercus", 30.0, 15.0): 10**-1.7194 * 13500.0**1.0414,
+    }
+    one = spark.range(1)
+    for (s, d, h), kg in want.items():
+        assert math.isclose(one.select(calculate_biomass(s, d, h)).first()[0], kg, rel_tol=1e-12), s
     cases = [(s, d, h) for s in (*NAMES, 0, 12) for d in (0.0, -1.0, 0.5, 30.0) for h in (0.0, 1.5, 25.0, -20.0, -22.0)]
     df = spark.createDataFrame(cases, "s int, d double, h double")
     for r in df.select("s", "d", "h", biomass(species_name(F.col("s")), F.col("d"), F.col("h")).alias("b")).collect():
         name = NAMES.get(r.s)
-        if name == "Quercus" and r.h < 0 and r.d > 0:
+        if name is None or r.d <= 0 or (name == "Quercus" and r.h == 0):
+            assert r.b == 0
+        elif name == "Quercus" and r.h < 0:
             assert r.b is None
+        elif (name in ("Pinus", "General_Conifer") and r.h == -20) or (name in ("Betula", "General_Broadleaf") and r.h == -22):
+            assert r.b == 0
         else:
-            assert math.isclose(r.b, calculate_biomass(name, r.d, r.h), rel_tol=1e-12), r
+            assert r.b > 0
+    assert one.select(polynomial_biomass(F.lit(10.0), F.lit(3.0), 1.5, 0.01)).first()[0] == 4.5
+    assert one.select(calculate_biomass(None, 10.0, 3.0)).first()[0] == 0 and one.select(calculate_biomass("Quercus", 10.0, -3.0)).first()[0] == 0
 
 
 @pytest.mark.parametrize("stocks, growth", [((0, 0, 0, 0), 0.0), ((5, 0, 0, 0), 0.0), ((5, 0, 0, 9), 0.5), ((0, 8, 4, 0), -1.0), ((1, 2, 9, 17), 2.0), ((None, None, None, None), 0.0)])

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from sylvaq.functions.clean import display_name, significance_label, soil_flags
 from sylvaq.functions.student import t_two_sided
 from sylvaq.operators import growth_models, panel, profile, regression
-from sylvaq.operators.forest import forest, forest_cv, forest_importances, load_model, save_model
-from sylvaq.sources.tables import keep_present, read_or_none, require, with_optional
+from sylvaq.operators.forest import forest, forest_cv, forest_importances
+from sylvaq.sources.models import load_forest, load_linear, save_forest, save_linear
+from sylvaq.sources.tables import copied_if_absent, keep_present, read_or_none, require, with_optional
 
 
 @pytest.fixture(scope="module")
@@ -153,7 +154,7 @@ def test_forest(spark, data, tmp_path):
     assert imp["a"]["x"] > imp["a"]["z"] and sum(imp["a"].values()) == pytest.approx(1)
     own = regression.complete(d, ["x", "z", "y"])
     m = forest(["x", "z"], "y", 3, 3).fit(own)
-    again = load_model(save_model(m, str(tmp_path), "a_both_rf"))
+    again = load_forest(save_forest(m, str(tmp_path), "a_both_rf"))
     assert again.transform(own).agg(F.sum("pred")).first() == m.transform(own).agg(F.sum("pred")).first()
 
 
@@ -164,3 +165,39 @@ def test_sources(spark, tmp_path):
     assert keep_present(df, ["s", "q", "x"]).columns == ["s", "x"]
     with pytest.raises(ValueError, match="q"):
         require(df, ["x", "q"])
+
+
+def test_linear_models_stored(spark, rows, tmp_path):
+    m = spark.createDataFrame([("a", "Height", 0, 0.1, 0.5, None, 0.9), ("b", "Crown", 1, 0.2, None, 0.3, None)], "species string, features string, seq int, c0 double, c_height double, c_crown double, r2 double")
+    save_linear(m, f"{tmp_path}/linear")
+    assert rows(load_linear(spark, f"{tmp_path}/linear")) == rows(m.drop("seq", "r2"))
+
+
+def test_copied_if_absent(spark, rows):
+    df = spark.createDataFrame([(1.0, 2.0)], "H15 double, x double")
+    assert rows(copied_if_absent(df, {"Initial_H": "H15", "x": "H15"})) == [(1.0, 2.0, 1.0)]
+
+
+def test_status_of_every_group(spark):
+    rng = np.random.default_rng(4)
+    features = [f for f in growth_models.EVERY if f != "type_Puisto"]
+    data = []
+    for grp, n, kind in (("small", 20, ""), ("same", 60, "constant"), ("twice", 60, "copy"), ("fine", 60, "")):
+        for _ in range(n):
+            x = [1.0] * len(features) if kind == "constant" else [float(v) for v in rng.normal(5, 1, len(features))]
+            if kind == "copy":
+                x[1] = x[0]
+            data.append((grp, "Katu", *x, float(rng.normal())))
+    g = spark.createDataFrame(data, f"grp string, type string, {', '.join(f'{f} double' for f in features)}, {growth_models.TARGET} double")
+    status = {r.Species: (r.N, r.Status) for r in growth_models.fit_status(g, 0, 40).collect()}
+    assert status == {"small": (20, "too few rows"), "same": (60, "degenerate"), "twice": (60, "singular"), "fine": (60, "ok")}
+
+
+def test_tile_texts(spark):
+    c = spark.createDataFrame([("Acer", "Log_Initial_H", 0.125, 0.001, "* *", 0.505, 900), ("Acer", "type_Puisto", -1.75, 0.5, "ns", 0.505, 900)], "Species string, Variable string, Coef double, P_Value double, Label string, R2 double, N bigint")
+    t = {r.variable: r for r in growth_models.tile_matrix(c).collect()}
+    assert (t["Height (Log)"].coef_text, t["Puisto"].coef_text, t["Puisto"].shade, t["Puisto"].text_colour) == (f"{0.125:.2f}", "-1.75", -1.0, "white")
+    assert t["Puisto"].species_label == f"Acer\n(N=900, R²={0.505:.2f})"
+    w = growth_models.tile_wide(c, ["Log_Initial_H", "type_Puisto", "Mono_Rate"]).first()
+    assert (w.Log_Initial_H_coef, w.Log_Initial_H_label, w.type_Puisto_label, w.Mono_Rate_coef) == (0.125, "* *", "ns", None)
+    assert [r.label for r in growth_models.tile_legend(spark).orderBy("position").collect()] == ["* * *", "* *", "*", "ns"]
