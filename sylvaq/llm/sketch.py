@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sylvaq.ship import ship
+
 BITS, EXACT, ROWS, WIDTH = 32, 11, 5, 1024
 #: Stated bound of the rank error as a share of the count, beyond the values that share a cell
 #: with the answer (a code's cell is 2**-20 of its value wide; values closer than that are one). The standard deviation of a
@@ -213,6 +215,7 @@ def build_sketches(df: DataFrame, group: list[str], values: list[str], low: floa
     a group of their own. Groups without a counted value do not come out. A part of
     more than ``sparse`` distinct codes is shipped as counters.
     """
+    ship(df.sparkSession)
     schema = _sketch_schema(df, group)
     narrow = df.select(*[F.col(f"`{g}`") for g in group], *[F.col(f"`{v}`").cast("double").alias(f"__v{i}") for i, v in enumerate(values)])
     k = len(group)
@@ -268,6 +271,7 @@ def merge_sketches(sketches: DataFrame, group: list[str], salts: int = 32) -> Da
     Two steps: parts are first merged within ``salts`` random shares of each group,
     then the shares are; a task streams over its parts and holds one sum per group.
     """
+    ship(sketches.sparkSession)
     keys = [*group, "field"]
     schema = _sketch_schema(sketches, group)
 
