@@ -8,18 +8,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvaq.scratch import checkpointed
+from sylvaq.ship import ship
 
 #: Words of a piece, and the mean length beyond which it holds something else than words.
 PIECE, LONG_WORD = 8, 14
 #: Most frequent words of a language that count as its common words, and how often one text may count for a word.
 TOP_WORDS, PER_TEXT = 40, 8
-#: Texts looked at together (at most 2 ** (64 - MARK_BITS)); bounds the arrays of a task.
-TOGETHER, MARK_BITS = 512, 53
+#: Texts looked at together (at most 2 ** (64 - MARK_BITS)) and their bytes; bounds the arrays of a task.
+TOGETHER, BYTES, MARK_BITS = 512, 1 << 19, 53
 #: Statistics of one text, in the order in which they come out.
 STATS = {
     "n_chars": T.LongType(),
@@ -201,6 +203,17 @@ def text_stats(texts: list[str | None], common: np.ndarray) -> dict[str, np.ndar
     return out
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most TOGETHER texts (second column) and, but for longer single texts, BYTES bytes."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    s = 0
+    while s < batch.num_rows:
+        past = upto[s - 1] if s else 0
+        e = min(s + TOGETHER, max(s + 1, int(np.searchsorted(upto, past + BYTES, "right"))))
+        yield batch.slice(s, e - s)
+        s = e
+
+
 def word_counts(df: DataFrame, text: str, language: str | None = None) -> DataFrame:
     """(language, mark, n): how often each word of small letters alone occurs in the texts of each language.
 
@@ -209,13 +222,13 @@ def word_counts(df: DataFrame, text: str, language: str | None = None) -> DataFr
     TOGETHER texts are counted before they leave the task. Languages are compared by their first two letters, in lower
     case; NULL, and every text without ``language``, is a language of its own.
     """
+    ship(df.sparkSession)
     name = F.lower(F.substring(F.trim(F.col(f"`{language}`").cast("string")), 1, 2)) if language else F.lit(None).cast("string")
     narrow = df.select(name.alias("language"), F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(s, TOGETHER)
+            for part in _portions(batch):
                 w = Words(part.column(1).to_pylist())
                 plain = w.lower & (w.within(w.kind == LETTER) == w.length)
                 enc = part.column(0).dictionary_encode()
@@ -254,13 +267,13 @@ def document_stats(df: DataFrame, key: str, text: str, common: np.ndarray) -> Da
     ``common``: marks of the common words, from common_words or word_marks. NULL and
     empty texts have counts and shares of 0; repeated rows stay; other columns are not read.
     """
+    ship(df.sparkSession)
     narrow = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([df.schema[key], *[T.StructField(k, t) for k, t in STATS.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(s, TOGETHER)
+            for part in _portions(batch):
                 stats = text_stats(part.column(1).to_pylist(), common)
                 cols = [pa.array(stats[k].astype(np.int64 if t == T.LongType() else np.float64)) for k, t in STATS.items()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=schema.names)
