@@ -17,6 +17,8 @@ from sylvaq.scratch import checkpointed
 
 #: Bins of a feature (the default of Spark ML forests); trees grown in one task.
 BINS, BLOCK = 32, 25
+#: Trees grown in one task row by row, and the rows of a share of a large group.
+TREES, SHARE = 4, 50_000
 
 
 def forest(features: list[str], target: str, trees: int, depth: int, seed: int = 42) -> Pipeline:
@@ -179,3 +181,37 @@ def forest_importances(df: DataFrame, group: str, features: list[str], target: s
     every = p.groupBy(group).agg(F.sum("share").alias("every"))
     p = p.join(every, group).select(group, "feature", F.coalesce(F.try_divide("share", "every"), F.lit(0.0)).alias("share"))
     return p.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("feature", "share"))).alias("importances"))
+
+
+def held_out(df: DataFrame, group: str, key: str, features: list[str], target: str, test: str, allowed: dict[str, list[str]], trees: int = 100, depth: int = 30, share_rows: int = SHARE) -> DataFrame:
+    """(group, key, y, pred): predictions of the rows with ``test`` by a forest of the group's other rows.
+
+    ``allowed`` names the features of each group, a short list; groups not in it take
+    no part. All groups are worked on side by side, a few trees per task, grown as in
+    forest_cv but row by row. A group of more than ``share_rows`` rows is dealt at random
+    into shares of about that many, each with a whole forest of its own that predicts
+    the share's test rows, so every row counts and no task holds a large group; up
+    to that size a forest sees all rows of its group. ``key`` is a unique bigint per group.
+    """
+    names = F.array(*[F.lit(g) for g in allowed]) if allowed else F.array().cast("array<string>")
+    d = complete(df, [*features, target]).where(F.array_contains(names, F.col(group))).select(group, key, test, *features, target)
+    size = d.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / share_rows).alias("shares"))
+    d = checkpointed(_binned(d, group, features).join(F.broadcast(size), group))  # a row per group
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-trees // TREES) - 1))).alias("block")
+    d = d.select(group, key, test, "bins", F.col(target).cast("double").alias("y"), F.pmod(F.xxhash64(key), F.col("shares")).alias("share"), blocks)
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        name, block, share = str(pdf[group].iloc[0]), int(pdf["block"].iloc[0]), int(pdf["share"].iloc[0])
+        own = [i for i, f in enumerate(features) if f in allowed[name]]
+        bins, y, away = np.stack(pdf["bins"])[:, own], pdf["y"].to_numpy(float), pdf[test].to_numpy(bool)
+        rng = np.random.default_rng([zlib.crc32(name.encode()), share, block])
+        n = rng.poisson(1.0, (min(TREES, trees - block * TREES), len(y))) * ~away
+        mean = y[~away].mean() if (~away).any() else np.nan
+        p, _ = grown(n, n * (y - mean), bins, depth)
+        p = p[:, away]
+        return pd.DataFrame({group: pdf[group].iloc[0], key: pdf[key].to_numpy()[away], "y": y[away], "total": np.nansum(p + mean, 0), "grown": (~np.isnan(p)).sum(0)})
+
+    parts = d.groupBy(group, "share", "block").applyInPandas(run, f"{group} {kind}, {key} bigint, y double, total double, grown bigint")
+    return parts.groupBy(group, key).agg(F.max("y").alias("y"), F.try_divide(F.sum("total"), F.sum("grown")).alias("pred"))

@@ -2,8 +2,8 @@
 
 One aggregate per call gathers counts, sums and cross products per group (with
 map-side partial sums, so a hot group costs no more than any other); the small
-systems are solved per row of that aggregate. Columns are shifted by their overall
-means first to limit cancellation.
+systems are solved per row of that aggregate. Columns are shifted by about their means
+first to limit cancellation.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from sylvaq.ship import ship
 
 #: Share of a feature's variance below which what others leave of it counts as nothing.
 SINGULAR = 1e-10
+#: Rows from whose means the shifts of the moments are taken.
+SHIFT_ROWS = 1000
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,9 +35,14 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def moments(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
-    """(group, n, shift, s, q): count, shifts, shifted sums and upper cross products of the columns."""
+    """(group, n, shift, s, q): count, shifts, shifted sums and upper cross products of the columns.
+
+    The shifts only limit cancellation, any number near the data would do: they are
+    the means of the first SHIFT_ROWS rows, and one pass over all rows follows.
+    """
     ship(df.sparkSession)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    some = df.select(*columns).limit(SHIFT_ROWS)
+    means = some.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     shift = [float(m) if m is not None else 0.0 for m in means]
     v = [F.col(c).cast("double") - F.lit(m) for c, m in zip(columns, shift)]
     k = len(columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sylvaq.functions.clean import display_name, significance_label, soil_flags
 from sylvaq.functions.student import t_two_sided
 from sylvaq.operators import growth_models, panel, profile, regression
-from sylvaq.operators.forest import forest, forest_cv, forest_importances
+from sylvaq.operators.forest import forest, forest_cv, forest_importances, held_out
 from sylvaq.sources.models import load_forest, load_linear, save_forest, save_linear
 from sylvaq.sources.tables import copied_if_absent, keep_present, read_or_none, require, with_optional
 
@@ -201,3 +201,21 @@ def test_tile_texts(spark):
     w = growth_models.tile_wide(c, ["Log_Initial_H", "type_Puisto", "Mono_Rate"]).first()
     assert (w.Log_Initial_H_coef, w.Log_Initial_H_label, w.type_Puisto_label, w.Mono_Rate_coef) == (0.125, "* *", "ns", None)
     assert [r.label for r in growth_models.tile_legend(spark).orderBy("position").collect()] == ["* * *", "* *", "*", "ns"]
+
+
+def test_held_out_forest_like_spark_ml(spark):
+    rng = np.random.default_rng(12)
+    n = 900
+    x, z, noise = rng.uniform(0, 10, n), rng.uniform(0, 5, n), rng.uniform(0, 1, n)
+    y = np.where((x > 3) ^ (z > 2), 5.0, 1.0) + 0.1 * x + rng.normal(0, 0.3, n)
+    g = spark.createDataFrame([("a", i, bool(i % 5 == 0), *map(float, r)) for i, r in enumerate(zip(x, z, noise, y))] + [("b", 1, False, 1.0, 1.0, 1.0, 2.0), ("b", 2, True, 1.0, 2.0, 2.0, 3.0), ("b", 3, False, None, 2.0, 2.0, 3.0), ("c", 1, True, 1.0, 1.0, 1.0, 1.0)], "grp string, k bigint, test boolean, x double, z double, noise double, y double").cache()
+    score = lambda p: p.where("grp = 'a'").agg(regression.scores("pred", "y")[1]).first()[0]
+    run = lambda shares: held_out(g, "grp", "k", ["x", "z", "noise"], "y", "test", {"a": ["x", "z"], "b": [], "d": ["x"]}, 40, 30, shares)
+    own = g.where("grp = 'a'")
+    spark_ml = score(forest(["x", "z"], "y", 40, 30).fit(own.where("not test")).transform(own.where("test")))
+    whole = run(50_000)
+    assert score(whole) == pytest.approx(spark_ml, abs=0.03) and spark_ml > 0.8
+    assert score(run(300)) == pytest.approx(spark_ml, abs=0.1)
+    got = whole.collect()
+    assert len(got) == 181 and {(r.grp, r.k): r.pred for r in got}["b", 2] == 2.0
+    assert held_out(g.limit(0), "grp", "k", ["x"], "y", "test", {"a": ["x"]}).count() == 0 and held_out(g, "grp", "k", ["x"], "y", "test", {}).count() == 0
