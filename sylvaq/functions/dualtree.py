@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from sylvaq.functions.graph import components
+
 LEAF = 8
 CHUNK = 1 << 19
 
@@ -146,13 +148,14 @@ def near_counts(a: Tree, b: Tree, radius: float, same: bool) -> tuple[np.ndarray
     return (ca + cb, cb) if same else (ca, cb)
 
 
-def near_links(a: Tree, b: Tree, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (positions; those of ``b`` follow the ones of ``a`` unless ``same``) with the components of
-    the graph of near pairs. A certain node pair costs its points once, not their product."""
+def near_links(a: Tree, b: Tree, radius: float, same: bool) -> np.ndarray:
+    """Component (its first position) of every point in the graph of near pairs; the positions of ``b`` follow
+    those of ``a`` unless ``same``. A certain node pair costs its points once, not their product, and an
+    uncertain one whose points already hang together is not looked at."""
     r2, shift = radius * radius, 0 if same else len(a.x)
     n = shift + len(b.x)
     chain = np.zeros(n + 1, np.int64)  # covers position p where p and p + 1 belong together
-    left, right = [], []
+    left, right, open_ = [], [], []
     for a0, a1, b0, b1, sure in near_ranges(a, b, radius, same):
         if sure:
             for s, e in ((a0, a1), (b0 + shift, b1 + shift)):
@@ -161,10 +164,17 @@ def near_links(a: Tree, b: Tree, radius: float, same: bool) -> tuple[np.ndarray,
             left.append(a0)
             right.append(b0 + shift)
         else:
-            for _, i, j in _expand(a0, a1, b0, b1):
-                dx, dy = a.x[i] - b.x[j], a.y[i] - b.y[j]
-                keep = dx * dx + dy * dy <= r2
-                left.append(i[keep])
-                right.append(j[keep] + shift)
+            open_.append((a0, a1, b0, b1))
     row = np.flatnonzero(np.cumsum(chain[:-1]) > 0)
-    return np.concatenate([row, *left]), np.concatenate([row + 1, *right])
+    root = components(n, np.concatenate([row, *left]), np.concatenate([row + 1, *right]))
+    for ranges in open_:
+        for s in range(0, len(ranges[0]), 4096):
+            a0, a1, b0, b1 = (v[s : s + 4096] for v in ranges)
+            breaks = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+            one = (breaks[a0] == breaks[a1 - 1]) & (breaks[b0 + shift] == breaks[b1 + shift - 1]) & (root[a0] == root[b0 + shift])
+            for _, i, j in _expand(a0[~one], a1[~one], b0[~one], b1[~one]):
+                dx, dy = a.x[i] - b.x[j], a.y[i] - b.y[j]
+                near = (dx * dx + dy * dy <= r2) & (root[i] != root[j + shift])
+                if near.any():
+                    root = components(n, np.concatenate([np.arange(n), i[near]]), np.concatenate([root, j[near] + shift]))
+    return root

@@ -56,10 +56,15 @@ def _tree(points: DataFrame, radius: float, node_points: int, extra: list[Column
         leaves = done if leaves is None else leaves.unionByName(done)
         if last:
             return leaves, levels
-        rest = checkpointed(cell.where("open").drop("open", "level", "ix", "iy"))
+        rest = checkpointed(_gathered(cell.where("open").drop("open", "level", "ix", "iy")))
         side, level = side / 2, level + 1
 
 
+def _gathered(df: DataFrame) -> DataFrame:
+    """The same rows on no more partitions than a shuffle has; the unions of a loop would double them every round."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _side(nodes: DataFrame, s: str) -> DataFrame:
     return nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in nodes.columns])
 
@@ -95,7 +100,7 @@ def _descend(levels: list[DataFrame], radius: float, wholesale: bool, wanted: Co
         front = front.where(_gap("near") <= r2)
         if wanted is not None:
             front = front.where(wanted)
-        front = checkpointed(front.withColumns({"sure": _gap("far") <= r2, "own": own}))
+        front = checkpointed(_gathered(front.withColumns({"sure": _gap("far") <= r2, "own": own})))
         last = level == len(levels) - 1
         if wholesale:
             s = front.where("sure")
@@ -197,7 +202,7 @@ class _Join:
                 own = own.withColumns({"__px": F.floor(F.col("ix") / 2), "__py": F.floor(F.col("iy") / 2)}).join(above, ["kind", "__px", "__py"], "left")
                 up = F.col("__above")
             own = own.select(*_NODE, "open", joined(up, F.col(value)).alias(value))
-            own = checkpointed(own.where(F.col(value).isNotNull()))
+            own = checkpointed(_gathered(own.where(F.col(value).isNotNull())))
             leaf = own.where(~F.col("open")).drop("open")
             out = leaf if out is None else out.unionByName(leaf)
             above = own.where("open").select("kind", F.col("ix").alias("__px"), F.col("iy").alias("__py"), F.col(value).alias("__above"))
@@ -327,12 +332,12 @@ def links_within(points: DataFrame, radius: float, node_points: int = NODE_POINT
         from sylvaq.functions.graph import components
 
         a = Tree(x[~right], y[~right], ids[~right])
-        tag, edges = a.tag, [near_links(a, a, radius, True)] if own else []
+        tag, root = a.tag, near_links(a, a, radius, True) if own else np.arange(len(a.tag))
         if right.any():
             b = Tree(x[right], y[right], ids[right])
-            tag = np.concatenate([a.tag, b.tag])
-            edges.append(near_links(a, b, radius, False))
-        root = components(len(tag), np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
+            tag, every = np.concatenate([a.tag, b.tag]), np.arange(len(a.tag) + len(b.tag))
+            links = near_links(a, b, radius, False)
+            root = components(len(tag), np.concatenate([every[: len(a.tag)], every]), np.concatenate([root, links]))
         low = np.full(len(tag), np.iinfo(np.int64).max)
         np.minimum.at(low, root, tag)
         low = low[root]

@@ -63,8 +63,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared scratch folder, with its lineage cut.
 
-    Partitions and their order are kept, which the two-pass operators rely on.
+    Partitions and their order are kept, which the two-pass operators rely on. A
+    checkpoint remembers the size Catalyst guessed for its plan, which for a join is
+    the product of both sides; in a loop of joins these numbers double their digits
+    every round until planning takes longer than the work. So the guess is
+    forgotten where the session allows it, and sizes are those met at run time.
     """
-    ship(df.sparkSession)
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ship(spark)
+    scratch_dir(spark)
+    done = df.checkpoint(eager=True)
+    try:
+        plain = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    except Exception:  # noqa: BLE001  another kind of session: the checkpoint as it is
+        return done
+    return DataFrame(plain, spark)
