@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvaq.functions.species import species_name
 from sylvaq.operators import regression
-from sylvaq.operators.forest import forest, forest_cv
+from sylvaq.operators.forest import forest, forest_cv, grown
 from sylvaq.plans import trees
 
 WINNERS = {"Acer", "Betula", "Pinus"}
@@ -66,3 +66,13 @@ def test_scores_of_every_set_and_fold(spark, survey):
     assert forests == pytest.approx({(r.species, r.features): r.R2 for r in rows if r.model == "RandomForest"})
     shares = trees.rf_importance(spark, survey).collect()
     assert len(shares) == 4 * 4 and sum(r.importance for r in shares) == pytest.approx(3 * 4)
+
+
+def test_trees_do_not_hang_on_rounding():
+    rng = np.random.default_rng(5)
+    bins = np.unique(rng.integers(0, 32, (80, 2)), axis=0)
+    n, y = rng.poisson(1.0, (50, len(bins))).astype(float), rng.normal(0.3, 0.1, len(bins))
+    pred, gains = grown(n, n * y, bins, 30)
+    for shift in (6e-17, -6e-17, 1e-15):
+        moved, other = grown(n, n * (y + shift), bins, 30)
+        assert np.allclose(moved, pred, rtol=0, atol=1e-9, equal_nan=True) and np.allclose(other, gains, rtol=0, atol=1e-9)
