@@ -76,3 +76,11 @@ def test_trees_do_not_hang_on_rounding():
     for shift in (6e-17, -6e-17, 1e-15):
         moved, other = grown(n, n * (y + shift), bins, 30)
         assert np.allclose(moved, pred, rtol=0, atol=1e-9, equal_nan=True) and np.allclose(other, gains, rtol=0, atol=1e-9)
+
+
+def test_held_out_rows_set_no_cuts(spark):
+    # without the row at 1 the cut lies at 5, with it at 0.5, on whose right the row would be predicted as 1
+    x = [0.0] * 11 + [1.0] + [10.0] * 12
+    d = spark.createDataFrame([(i, "a", v, float(v > 5)) for i, v in enumerate(x)], "id bigint, g string, x double, y double")
+    ours = forest_cv(d, "g", ["x"], "y", "id", trees=40).first()
+    assert ours.n == 24 and ours.rmse < 0.05
